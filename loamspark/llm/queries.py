@@ -6,11 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .suffix_dedup import op1_suffix_dedup
+from . import mixing, packing, quality_rules, simhash_dedup, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_suffix_dedup": op1_suffix_dedup,
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+    "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_simhash_dedup": simhash_dedup.op3_simhash_dedup,
+    "op4_url_filter": url_filter.op4_url_filter,
+    "op5_mixing": mixing.op5_mixing,
+    "op7_packing": packing.op7_packing,
 }
 
 #: DuckDB SQL for those that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_quality_rules": quality_rules.ORACLE_SQL,
+    "op4_url_filter": url_filter.ORACLE_SQL,
+    "op5_mixing": mixing.ORACLE_SQL,
+}
