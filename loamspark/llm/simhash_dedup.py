@@ -13,9 +13,10 @@ its other half, which is equal (one row for each half instead of one for each bi
 equality there. Every pair that shares a variant is verified on the whole fingerprints. Equal
 fingerprints are one node, so exact copies make no pairs.
 
-Pairs with more differences than 2 * SEGMENTS - 1, but not more than `most`, are found if one
-segment is close, and mostly through other copies of their group; tests hold recall against brute
-force.
+Up to 2 * SEGMENTS - 1 differences this finds every pair. Pairs with more, but not more than `most`,
+are found if one segment happens to be close, so the fingerprint is also cut after each of CUTS - 1
+fixed permutations of its bits, which gives them as many more chances; tests hold recall against
+brute force.
 
 Null texts and texts without words (empty, white space or punctuation only) are in no group. A null
 doc_id is a row like any other and goes after the others of its group. Repeated rows are copies: one
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from .components import checkpointed, connected_components
 from .kernels import U64, Words, chunks, mix, text_buffers
 
-BITS, SEGMENTS = 256, 8
+BITS, SEGMENTS, CUTS = 256, 8, 3
 MOST = 40
 #: Rows that are joined together, at least; whole routes only.
 JOIN_ROWS = 150_000
@@ -115,17 +116,23 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each half of each segment: segment, half and the half's 16 bits in `route`."""
+    """A row for each half of each segment of each cut: cut, segment, half and the half's 16 bits in `route`; sig is permuted."""
+    rng = np.random.default_rng(7)
+    cuts = [np.arange(BITS), *(rng.permutation(BITS) for _ in range(CUTS - 1))]
     for batch in batches:
-        halves = np.ascontiguousarray(_matrix(batch.column("sig"))).view(np.uint16).reshape(len(batch), -1).astype(np.int32)
-        for k in range(halves.shape[1]):
-            yield pa.RecordBatch.from_arrays([pa.array(halves[:, k] | (k << 16)), batch.column("node"), batch.column("sig")], names=["route", "node", "sig"])
+        bits = np.unpackbits(np.ascontiguousarray(_matrix(batch.column("sig"))).view(np.uint8), axis=1)
+        for c, order in enumerate(cuts):
+            packed = np.ascontiguousarray(np.packbits(bits[:, order], axis=1))
+            halves = packed.view(np.uint16).astype(np.int32)
+            sig = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), len(batch), [None, pa.py_buffer(packed)]).cast(pa.binary())
+            for k in range(halves.shape[1]):
+                yield pa.RecordBatch.from_arrays([pa.array(halves[:, k] | ((c * 2 * SEGMENTS + k) << 16)), batch.column("node"), sig], names=["route", "node", "sig"])
 
 
 def _linked(route: np.ndarray, node: np.ndarray, sig: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the verified pairs of rows in the same route that share a variant."""
     n = len(route)
-    other = sig.view(np.uint16).reshape(n, -1)[np.arange(n), (route >> 16) ^ 1].astype(U64)
+    other = sig.view(np.uint16).reshape(n, -1)[np.arange(n), (route >> 16) % (2 * SEGMENTS) ^ 1].astype(U64)
     group = np.cumsum(np.append(0, route[1:] != route[:-1])).astype(U64) << U64(15)
     found: list[np.ndarray] = []
     for bit in range(16):
