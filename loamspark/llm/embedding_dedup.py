@@ -77,8 +77,8 @@ def _rows(kind: int, **of: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(of[c], types.get(c, pa.int64())) if c in of else pa.nulls(n, types.get(c, pa.int64())) for c in names], names=names)
 
 
-def _pairs(part: np.ndarray, node: np.ndarray, vectors: list[bytes], place: np.ndarray, width: int, least: float, fresh: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Verified pairs of rows at most `width` places apart in the same part, the second from `fresh` on."""
+def _pairs(part: np.ndarray, node: np.ndarray, vectors: list[bytes], place: np.ndarray, width: int, least: float, fresh: int = 0, pid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Verified pairs of rows at most `width` places apart in the same part, the second from `fresh` on; with pid, of two partitions."""
     us, vs = [], []
     sizes = part // 1024
     for dim in np.unique(sizes):
@@ -87,6 +87,8 @@ def _pairs(part: np.ndarray, node: np.ndarray, vectors: list[bytes], place: np.n
         for lag in range(1, min(width, len(of) - 1) + 1):
             i, j = of[:-lag], of[lag:]
             ok = (part[i] == part[j]) & (place[j] - place[i] <= width) & (j >= fresh)
+            if pid is not None:
+                ok &= pid[i] != pid[j]
             k = np.flatnonzero(ok)
             near = k[np.einsum("ij,ij->i", m[k], m[k + lag]) >= least] if len(k) else k
             us.append(node[i[near]])
@@ -105,8 +107,8 @@ def _windows(width: int, least: float):
                 continue
             head += [(i, part[i], node[i], vectors[i]) for i in range(min(n, width - len(head)))] if seen < width else []
             old = len(tail)
-            p = np.append([t[1] for t in tail], part).astype(np.int64)
-            x = np.append([t[2] for t in tail], node).astype(np.int64)
+            p = np.concatenate([np.array([t[1] for t in tail], np.int64), part])
+            x = np.concatenate([np.array([t[2] for t in tail], np.int64), node])
             all_ = [t[3] for t in tail] + vectors
             for a in range(0, n, 20_000):  # dense matrices of a bounded size
                 lo, hi = max(0, old + a - width), min(old + n, old + a + 20_000)
@@ -135,10 +137,10 @@ def _over_ends(width: int, least: float):
                 if last is not None and pid[i] != last[0]:
                     base += last[1]
                 last = (pid[i], n[i])
-                rows.append((base + at[i], part[i], node[i], vectors[i]))
+                rows.append((base + at[i], part[i], node[i], vectors[i], pid[i]))
             if rows:
-                place, p, x, v = zip(*rows)
-                u, w = _pairs(np.array(p, np.int64), np.array(x, np.int64), list(v), np.array(place, np.int64), width, least, len(tail))
+                place, p, x, v, of = zip(*rows)
+                u, w = _pairs(np.array(p, np.int64), np.array(x, np.int64), list(v), np.array(place, np.int64), width, least, len(tail), np.array(of))
                 yield pa.RecordBatch.from_pydict({"u": u, "v": w})
             tail = rows[-width:]
 
