@@ -58,8 +58,10 @@ _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
 _AT = r"(?:at|arroba|chez|ät)"
 _DOT = r"(?:dot|punkt|punto|point)"
 _BRACKET = re.compile(rf"\s{{0,3}}[\[({{<]\s{{0,3}}(?:(?P<at>{_AT}|@)|(?P<dot>{_DOT}|\.))\s{{0,3}}[\])}}>]\s{{0,3}}", re.I)
-_SPACED = re.compile(rf"(?<![\w.+\-])[\w.+\-]{{1,64}}(?P<at>\s{{1,3}}at\s{{1,3}}|\s{{0,3}}@\s{{0,3}})(?P<host>[\w\-]{{1,63}}(?:(?:\s{{1,3}}{_DOT}\s{{1,3}}|\.)[\w\-]{{1,63}}){{0,4}}\s{{1,3}}{_DOT}\s{{1,3}}[a-z]{{2,12}})(?!\w)", re.I)
-_HALF = re.compile(r"(?<![\w.+\-])(?=[\w.+\-]{0,63}[\d._+\-])[\w.+\-]{1,64}(?P<at>\s{1,3}at\s{1,3})[a-z0-9\-]{1,63}(?:\.[a-z0-9\-]{1,63}){0,4}\.[a-z]{2,12}(?![\w\-])", re.I)
+#: Without brackets or "@", only what ends in one of these is taken for a host.
+_TOP = r"(?:com|org|net|edu|gov|mil|int|info|biz|name|io|ai|app|dev|co|eu|uk|us|ca|au|nz|ie|de|at|ch|fr|be|nl|lu|es|pt|it|gr|pl|cz|sk|hu|ro|bg|dk|se|no|fi|is|ee|lv|lt|ru|ua|tr|il|in|cn|jp|kr|tw|hk|sg|br|mx|ar|cl|za|example|test)"
+_SPACED = re.compile(rf"(?<![\w.+\-])[\w.+\-]{{1,64}}(?P<at>\s{{1,3}}at\s{{1,3}}|\s{{0,3}}@\s{{0,3}})(?P<host>[\w\-]{{1,63}}(?:(?:\s{{1,3}}{_DOT}\s{{1,3}}|\.)[\w\-]{{1,63}}){{0,4}}\s{{1,3}}{_DOT}\s{{1,3}}{_TOP})(?!\w)", re.I)
+_HALF = re.compile(rf"(?<![\w.+\-])(?=[\w.+\-]{{0,63}}[\d._+\-])[\w.+\-]{{1,64}}(?P<at>\s{{1,3}}at\s{{1,3}})[a-z0-9\-]{{1,63}}(?:\.[a-z0-9\-]{{1,63}}){{0,4}}\.{_TOP}(?![\w\-])", re.I)
 _DOTTED = re.compile(rf"\s{{1,3}}{_DOT}\s{{1,3}}", re.I)
 
 _EMAIL = re.compile(r"[A-Za-z0-9_%+\-](?:[A-Za-z0-9._%+\-]{0,62}[A-Za-z0-9_%+\-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])")
