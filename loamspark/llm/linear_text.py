@@ -36,11 +36,14 @@ def byte_grams(data: np.ndarray, offsets: np.ndarray, n: int, bits: int, within_
 
 
 def word_grams(data: np.ndarray, offsets: np.ndarray, bits: int) -> list[Features]:
-    """Buckets of the words and of the pairs of consecutive words of each text."""
+    """Buckets of the words and of the pairs of consecutive words of each text.
+
+    A word that follows itself is one and the same feature, whatever the word.
+    """
     w = Words(data, offsets)
     row = np.repeat(np.arange(len(w.counts)), w.counts)
     h = w.hashes()
-    pair = mix(h[:-1] * U64(3) + h[1:]) if len(h) else h
+    pair = np.where(h[:-1] == h[1:], U64(0x2545F4914F6CDD1D), mix(h[:-1] * U64(3) + h[1:])) if len(h) else h
     same = row[1:] == row[:-1]
     shift = U64(64 - bits)
     return [((h >> shift).astype(np.int64), row), ((pair[same] >> shift).astype(np.int64), row[1:][same])]
