@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,9 +47,7 @@ def _events_table(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def stream_two_sinks(spark: SparkSession, sf: str) -> DataFrame:
     base = spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{base.rstrip('/')}/two-sinks" if base else tempfile.mkdtemp(prefix="two-sinks-")
-    if not base:
-        shutil.rmtree(folder, ignore_errors=True)
+    folder = f"{base.rstrip('/')}/two-sinks-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="two-sinks-")
     details, summary = f"{folder}/details", f"{folder}/summary"
     streams.two_sinks(_events(spark, sf), details, summary, f"{folder}/checkpoint", "event_type").awaitTermination()
     return spark.read.parquet(summary).groupBy("event_type").agg(F.sum("n").alias("n"))
