@@ -98,3 +98,21 @@ def costs(calls: DataFrame) -> DataFrame:
 
 def solve_rates(rollouts: DataFrame, policy: str) -> DataFrame:
     return rollouts.groupBy(policy).agg(F.round(F.avg(F.coalesce(F.col("solved").cast("double"), F.lit(0.0))) * 100, 4).alias("solve_rate"))
+
+
+def result_rows(metrics: DataFrame, policy: str, bench: str, **provenance: str | int | float | None) -> DataFrame:
+    """One row a bench: its metrics as a map, the number of items and where they come from, null where unknown."""
+    known = ("run", "checkpoint_path", "globalstep", "tool_surface", "grader_model", "model", "git_sha", "created")
+    if unknown := set(provenance) - set(known):
+        raise ValueError(f"unknown provenance: {', '.join(sorted(unknown))}")
+    pairs = [x for c in metrics.columns if c != "n" for x in (F.lit(c), F.col(c).cast("double"))]
+    given = [F.lit(provenance.get(k)).cast("string").alias(k) for k in known]
+    return metrics.select(F.lit(policy).alias("policy"), F.lit(bench).alias("bench"), "n", F.create_map(*pairs).alias("metrics"), *given)
+
+
+def separation_loss(tokens: DataFrame) -> DataFrame:
+    """Mean over unmasked tokens of the cross-entropy between log_z and whether the advantage is negative."""
+    z = F.col("log_z")
+    y = F.when(F.col("advantage") < 0, 0.0).otherwise(1.0)
+    loss = F.greatest(z, F.lit(0.0)) - z * y + F.log1p(F.exp(-F.abs(z)))
+    return tokens.filter("mask").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(loss), 6).alias("loss"))

@@ -130,7 +130,7 @@ def nearest(queries: DataFrame, store: DataFrame, k: int, key: str = "vec_id") -
 
     For many queries: each partition of the store is multiplied with all queries at once and keeps
     k candidates a query, so what is shuffled doesn't grow with the product of both sides. Queries
-    (query_id and embedding) are a batch of bounded size.
+    (query_id and embedding) are a batch that fits the driver; all vectors have the same length.
     """
     rows = queries.select("query_id", "embedding").toArrow()
     ids = np.asarray(rows.column("query_id"))
@@ -141,15 +141,16 @@ def nearest(queries: DataFrame, store: DataFrame, k: int, key: str = "vec_id") -
             if not len(batch) or not len(ids):
                 continue
             own = batch.column("id").to_numpy()
-            s = matrix @ np.array(batch.column("embedding").to_pylist(), np.float64).T
-            s[ids[:, None] == own[None, :]] = -np.inf
-            # enough to hold ties of the rounded score
-            order = np.lexsort((np.broadcast_to(own, s.shape), -np.round(s, 6)))[:, :k]
-            q = np.repeat(ids, order.shape[1])
-            o = order.ravel()
-            v = np.take_along_axis(s, order, 1).ravel()
-            ok = np.isfinite(v)
-            yield pa.RecordBatch.from_pydict({"query_id": q[ok], "id": own[o[ok]], "score": v[ok]})
+            vectors = np.asarray(batch.column("embedding").flatten(), np.float64).reshape(len(batch), -1)
+            for a in range(0, len(own), 4096):  # a bounded matrix of scores
+                some = own[a : a + 4096]
+                s = matrix @ vectors[a : a + 4096].T
+                s[ids[:, None] == some[None, :]] = -np.inf
+                r = np.round(s, 6)
+                least = np.partition(r, len(some) - k, axis=1)[:, len(some) - k] if len(some) > k else np.full(len(ids), -np.inf)
+                # with those that tie with the k-th
+                q, o = np.nonzero((r >= least[:, None]) & np.isfinite(r))
+                yield pa.RecordBatch.from_pydict({"query_id": ids[q], "id": some[o], "score": s[q, o]})
 
     found = store.select(F.col(key).cast("long").alias("id"), "embedding").mapInArrow(score, "query_id long, id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "id"))
@@ -257,3 +258,33 @@ class Tools:
             return {"result": self.subset([name])[name](**arguments)}
         except Exception as e:
             return {"error": f"{type(e).__name__}: {e}"}
+
+
+#: For each call what a backend that has only search by relevance, snippets, papers and citations answers it with.
+ROUTES = {
+    "search_papers": ("search_papers_by_relevance", {"query": "keyword", "limit": "limit"}),
+    "search_snippets": ("snippet_search", {"query": "query", "limit": "limit", "paper_ids": "paper_ids"}),
+    "paper_info": ("get_paper", {"paper_id": "paper_id"}),
+    "list_references": ("get_citations", {"paper_id": "paper_id", "limit": "limit"}),
+    "list_citations": ("get_citations", {"paper_id": "paper_id", "limit": "limit"}),
+}
+#: Calls that such a backend answers only in part.
+LOOSE_ROUTES = {
+    "find_similar": ("get_citations", {"paper_id": "paper_id", "limit": "limit"}),
+    "read_paper": ("snippet_search", {"question": "query", "paper_id": "paper_ids", "limit": "limit"}),
+    "find_in_paper": ("snippet_search", {"pattern": "query", "paper_id": "paper_ids", "max_hits": "limit"}),
+}
+
+
+def routed(name: str, arguments: dict, mode: str = "strict") -> tuple[str, dict]:
+    """A call as the backend's call; those that aren't given or null are left out."""
+    if mode not in ("strict", "body_revive"):
+        raise ValueError(f"unknown mode {mode!r}")
+    routes = ROUTES | (LOOSE_ROUTES if mode == "body_revive" else {})
+    if name not in routes:
+        raise KeyError(name)
+    tool, names = routes[name]
+    out = {there: arguments[here] for here, there in names.items() if arguments.get(here) is not None}
+    if "paper_ids" in out and not isinstance(out["paper_ids"], list):
+        out["paper_ids"] = [out["paper_ids"]]
+    return tool, out

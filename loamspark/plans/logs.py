@@ -223,3 +223,17 @@ def training_rows(spark: SparkSession, sf: str) -> DataFrame:
     rows = qa.selectExpr("corpus_id AS sample_id", "concat('what is ', corpus_id) AS question", "lang AS answer", "'value' AS answer_type", "CASE corpus_id % 3 WHEN 0 THEN NULL WHEN 1 THEN array(corpus_id) ELSE array(corpus_id, 1L) END AS seed_paper_ids")
     out = traces.training_rows(rows, "qa", "tool_agent")
     return out.select(F.col("extra_info.sample_id").alias("doc_id"), F.get("prompt", F.lit(0))["content"].alias("content"), F.col("reward_model.ground_truth").alias("ground_truth"), "data_source", F.size("extra_info.seed_paper_ids").alias("n_seeds"))
+
+
+@query("SELECT conv_id, sum(turn * 10 + length(role))::BIGINT AS prompt_tokens, sum(CASE WHEN turn % 3 = 0 THEN 0 ELSE length(text) END)::BIGINT AS completion_tokens FROM conversations GROUP BY 1")
+def token_totals(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations").selectExpr("conv_id", "turn * 10 + length(role) AS prompt_tokens", "CASE WHEN turn % 3 = 0 THEN NULL ELSE length(text) END AS completion_tokens")
+    return traces.token_totals(turns, "conv_id")
+
+
+@query("SELECT conv_id, CASE conv_id % 3 WHEN 0 THEN concat('search_snippets:q', conv_id, ':2001|search_papers:x:') ELSE '' END AS queries FROM (SELECT DISTINCT conv_id FROM conversations)")
+def search_query_list(spark: SparkSession, sf: str) -> DataFrame:
+    raw = """CASE conv_id % 3 WHEN 0 THEN concat('[{"tool": "search_snippets", "query": " q', conv_id, ' ", "year_min": 2001}, {"tool": "other", "query": "x", "venue": ""}, {"query": " "}, {"query": "fourth"}]') WHEN 1 THEN 'none' END AS raw"""
+    rows = table(spark, sf, "conversations").select("conv_id").distinct().selectExpr("conv_id", raw)
+    each = F.transform(traces.search_queries(F.col("raw"), 3), lambda x: F.concat(x["tool"], F.lit(":"), x["query"], F.lit(":"), F.coalesce(x["year_min"].cast("string"), F.lit(""))))
+    return rows.select("conv_id", F.array_join(each, "|").alias("queries"))

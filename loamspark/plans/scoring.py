@@ -195,3 +195,15 @@ def reward_summary(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT doc_id, CASE WHEN lower(trim(v)) = 'correct' THEN 'Correct' ELSE 'Incorrect' END AS verdict FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN ' CORRECT' WHEN 1 THEN 'maybe' END AS v FROM labels)")
 def verdict_map(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "labels").selectExpr("doc_id", "CASE doc_id % 3 WHEN 0 THEN ' CORRECT' WHEN 1 THEN 'maybe' END AS v").select("doc_id", text.verdict("v").alias("verdict"))
+
+
+@query(f"WITH {_PRED}, m AS (SELECT {_ranking(5)} FROM pred) SELECT 'own' AS policy, 'ranking' AS bench, count(*) AS n, round(avg(recall_5), 6) AS recall_5, round(avg(ndcg_5), 6) AS ndcg_5, 'v1' AS model, NULL::VARCHAR AS run FROM m")
+def result_record(spark: SparkSession, sf: str) -> DataFrame:
+    rows = evaluation.result_rows(evaluation.ranking_metrics(_predictions(spark, sf), (5,)), "own", "ranking", model="v1")
+    return rows.select("policy", "bench", "n", F.col("metrics")["recall_5"].alias("recall_5"), F.col("metrics")["ndcg_5"].alias("ndcg_5"), "model", "run")
+
+
+@query("SELECT count(*) AS n, round(avg(greatest(z, 0) - z * y + ln(1 + exp(-abs(z)))), 6) AS loss FROM (SELECT value / 10 - 3 AS z, CASE WHEN user_id % 3 = 0 THEN 0 ELSE 1 END AS y FROM events WHERE event_id % 5 <> 0)")
+def separation_loss(spark: SparkSession, sf: str) -> DataFrame:
+    tokens = table(spark, sf, "events").selectExpr("value / 10 - 3 AS log_z", "CASE WHEN user_id % 3 = 0 THEN -1.0 ELSE 0.5 END AS advantage", "event_id % 5 <> 0 AS mask")
+    return evaluation.separation_loss(tokens)

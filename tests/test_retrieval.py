@@ -119,3 +119,12 @@ def test_registry(store, texts):
     assert tools.call("read_paper", paper=1, limit=1)["result"].first().text == "zero"
     assert "nope" in tools.call("nope")["error"] and "error" in tools.call("read_paper", wrong=1)
     assert tools.call("submit_answer", answer="x")["result"]["terminal"]
+
+
+def test_routes():
+    assert retrieval.routed("search_papers", {"query": "q", "limit": None}) == ("search_papers_by_relevance", {"keyword": "q"})
+    with pytest.raises(KeyError):
+        retrieval.routed("read_paper", {"paper_id": 3})
+    assert retrieval.routed("read_paper", {"paper_id": 3, "question": "q"}, "body_revive") == ("snippet_search", {"query": "q", "paper_ids": [3]})
+    with pytest.raises(ValueError):
+        retrieval.routed("search_papers", {}, "other")
