@@ -95,17 +95,24 @@ def select(good: int, false: list[int], caught: list[int], alpha: float, delta:
 
 
 def thresholds(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict[str, float]]:
-    """Cutoffs by stratum and rule, from counts over all labelled rows; one row a stratum comes to the driver."""
+    """Cutoffs by stratum and rule, from counts over all labelled rows; at most 180 counts a stratum come to the driver."""
     measured = measures(docs.select("doc_id", stratum(F.col("lang")).alias("stratum"), "text")).drop("text")
     marked = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("quality in (0, 1)")
     joined = measured.join(marked, "doc_id")
-    counts = [F.count_if((F.col("quality") == q) & (F.col(r) > c)).alias(f"{r}_{q}_{i}") for r in RULES for i, c in enumerate(CUTOFFS) for q in (0, 1)]
-    rows = joined.groupBy("stratum").agg(F.count_if(F.col("quality") == 1).alias("good"), *counts).collect()
-    tests = len(rows) * len(RULES)
-    found = {}
-    for row in rows:
-        of = {r: select(row["good"], *[[row[f"{r}_{q}_{i}"] for i in range(len(CUTOFFS))] for q in (1, 0)], alpha / len(RULES), delta / tests) for r in RULES}
-        found[row["stratum"]] = {r: c for r, c in of.items() if c is not None}
+    exceeded = lambda r: sum(((F.col(r) > c).cast("int") for c in CUTOFFS), F.lit(0))
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), exceeded(r).alias("over")) for r in RULES])).alias("m")
+    rows = joined.select("stratum", "quality", each).groupBy("stratum", "quality", "m.rule", "m.over").agg(F.count(F.lit(1)).alias("n")).collect()
+    strata = sorted({row["stratum"] for row in rows})
+    tests = len(strata) * len(RULES)
+    found: dict[str, dict[str, float]] = {s: {} for s in strata}
+    for s in strata:
+        for r in RULES:
+            over = {q: {row["over"]: row["n"] for row in rows if (row["stratum"], row["quality"], row["rule"]) == (s, q, r)} for q in (0, 1)}
+            # a measure above the i-th cutoff is above all that follow
+            above = {q: [sum(n for k, n in over[q].items() if k >= len(CUTOFFS) - i) for i in range(len(CUTOFFS))] for q in (0, 1)}
+            c = select(sum(over[1].values()), above[1], above[0], alpha / len(RULES), delta / tests)
+            if c is not None:
+                found[s][r] = c
     return found
 
 
@@ -134,8 +141,9 @@ def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that no rule rejects, with docs' columns."""
     p = "__" + "_" * max([0, *map(len, docs.columns)])  # longer than any name, so none clashes
     cutoffs = thresholds(docs, labels)
-    measured = measures(docs, prefix=p)
-    return measured.filter(failed(cutoffs, stratum(F.col("lang")), p) == "").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # the number keeps the filter from being pushed into the measures, which would then be taken for every mention
+    measured = measures(docs, prefix=p).withColumn(p + "row", F.monotonically_increasing_id())
+    return measured.filter((failed(cutoffs, stratum(F.col("lang")), p) == "") & (F.col(p + "row") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
