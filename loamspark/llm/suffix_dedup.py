@@ -12,7 +12,8 @@ cover. Words are separated by white space and compared byte for byte.
    slice of words that such a bucket's windows cover goes to the bucket's partition.
 3. There `refine` sorts the suffixes of whole buckets: initial q-gram buckets, then within each
    bucket by the pointers of the suffixes `depth` words on, reusing updated pointers, until the
-   pointers tell `min_words` words apart. Suffixes that still share a bucket are the repeats.
+   pointers tell `min_words` words apart. Suffixes that still share a bucket are the repeats. Equal
+   slices are held and sorted once, so a passage with very many copies doesn't fill a task.
 4. Runs of repeated windows are merged to spans for each text.
 
 Nothing is broadcast or gathered by this code; the result is exact but for 64-bit hash collisions.
@@ -20,7 +21,8 @@ Nothing is broadcast or gathered by this code; the result is exact but for 64-bi
 Null and empty texts, and texts under `min_words` words, have no span. A null doc_id is carried as
 null. Repeated rows repeat each other: every copy has its spans, and rows equal in doc_id and text
 share them. Of the copies of a window the first by (doc_id, text hash, position), nulls first, is
-the one to keep. Other columns, whatever their names, are not looked at.
+the one to keep: to be cut are the words of spans with keep false that no span with keep true covers.
+Other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -156,10 +158,23 @@ def _slices(min_words: int):
 
 
 def _spans(table: pa.Table, min_words: int) -> pa.RecordBatch:
-    """Runs of repeated windows of whole buckets, apart by whether they are the first of their copies."""
+    """Runs of repeated windows of whole buckets, apart by whether they are the first of their copies.
+
+    Equal slices are sorted once: all windows of a slice that is there again are repeated, and of its
+    occurrences only the first can have the first copy of a window.
+    """
     table = table.combine_chunks()
-    column = table.column("slice").combine_chunks().cast(pa.large_binary())
-    data, offsets = text_buffers(pa.LargeStringArray.from_buffers(len(column), column.buffers()[1], column.buffers()[2], None, 0, column.offset))
+    column = table.column("slice").combine_chunks()
+    used, of = np.unique(column.indices.to_numpy(), return_inverse=True)
+    distinct = column.dictionary.take(pa.array(used)).cast(pa.large_binary())
+    doc = table.column("doc_id").combine_chunks()
+    ids = doc.fill_null(NOBODY).to_numpy(zero_copy_only=False) if doc.null_count else doc.to_numpy()
+    key, begin, char = table.column("key").to_numpy(), table.column("at").to_numpy().astype(np.int64), table.column("char").to_numpy().astype(np.int64)
+    order = np.lexsort((begin, key, ids, of))
+    head = np.append(True, of[order][1:] != of[order][:-1])[: len(of)]
+    times_of = np.diff(np.append(np.flatnonzero(head), len(of)))
+    lead, rest = order[head], order[~head]  # lead: the first occurrence of each distinct slice
+    data, offsets = text_buffers(pa.LargeStringArray.from_buffers(len(distinct), distinct.buffers()[1], distinct.buffers()[2], None, 0, distinct.offset))
     w = Words(data, offsets)
     row = np.repeat(np.arange(len(w.counts)), w.counts)
     h = w.hashes()
@@ -169,19 +184,16 @@ def _spans(table: pa.Table, min_words: int) -> pa.RecordBatch:
     keys[place] = h
     marks = w.of_row[1:] + np.arange(len(w.counts))
     keys[marks] = U64(2**63) + np.arange(len(marks), dtype=U64) * U64(0x9E3779B97F4A7C15)
-    order, pointer = refine(keys, min(13, min_words), min_words)
+    _, pointer = refine(keys, min(13, min_words), min_words)
     # the same window can be in two slices only if it has the same anchor, so copies share a bucket here
     at = np.arange(len(h)) - w.of_row[row]
     window = np.flatnonzero(at <= w.counts[row] - min_words)
-    p = pointer[place[window]]
-    times = np.bincount(p, minlength=len(keys))[p]
-    window, p, times = window[times > 1], p[times > 1], times[times > 1]
-    doc = table.column("doc_id").combine_chunks()
-    ids = doc.fill_null(NOBODY).to_numpy(zero_copy_only=False) if doc.null_count else doc.to_numpy()
-    text_key, begin = table.column("key").to_numpy(), table.column("at").to_numpy().astype(np.int64)
-    r = row[window]
-    word = begin[r] + at[window]
-    by = np.lexsort((word, text_key[r], ids[r], p))
+    p, r = pointer[place[window]], row[window]
+    times = np.bincount(p, times_of[r], minlength=len(keys))[p].astype(np.int64)
+    most = np.maximum.reduceat(times, np.flatnonzero(np.append(True, r[1:] != r[:-1]))) if len(r) else times
+    window, p, r, times = window[times > 1], p[times > 1], r[times > 1], times[times > 1]
+    word = begin[lead[r]] + at[window]
+    by = np.lexsort((word, key[lead[r]], ids[lead[r]], p))
     first = np.zeros(len(p), bool)
     first[by[np.append(True, p[by][1:] != p[by][:-1])[: len(p)]]] = True
     new = np.append(True, (np.diff(window) != 1) | (np.diff(r) != 0) | (first[1:] != first[:-1]))[: len(window)]
@@ -189,18 +201,20 @@ def _spans(table: pa.Table, min_words: int) -> pa.RecordBatch:
     stops = np.append(starts[1:], len(window)) - 1 if len(starts) else starts
     chars = char_positions(data)
     rs, ws, we = r[starts], window[starts], window[stops] + min_words - 1
-    char0 = table.column("char").to_numpy().astype(np.int64)[rs]
-    base = chars[w.offsets[rs]]
+    base = chars[w.offsets[:-1]]
+    # the other occurrences are repeated from end to end
+    d = of[rest]
+    size = chars[w.offsets[1:]] - base
     return pa.RecordBatch.from_arrays(
         [
-            doc.take(pa.array(rs)),
-            pa.array(text_key[rs]),
-            pa.array(word[starts].astype(np.int32)),
-            pa.array((word[stops] + min_words).astype(np.int32)),
-            pa.array((char0 + chars[w.starts[ws]] - base).astype(np.int32)),
-            pa.array((char0 + chars[w.ends[we]] - base).astype(np.int32)),
-            pa.array(np.maximum.reduceat(times, starts) if len(starts) else times),
-            pa.array(first[starts]),
+            doc.take(pa.array(np.concatenate([lead[rs], rest]))),
+            pa.array(np.concatenate([key[lead[rs]], key[rest]])),
+            pa.array(np.concatenate([word[starts], begin[rest]]).astype(np.int32)),
+            pa.array(np.concatenate([word[stops] + min_words, begin[rest] + w.counts[d]]).astype(np.int32)),
+            pa.array(np.concatenate([char[lead[rs]] + chars[w.starts[ws]] - base[rs], char[rest]]).astype(np.int32)),
+            pa.array(np.concatenate([char[lead[rs]] + chars[w.ends[we]] - base[rs], char[rest] + size[d]]).astype(np.int32)),
+            pa.array(np.concatenate([np.maximum.reduceat(times, starts) if len(starts) else times, most[d]])),
+            pa.array(np.concatenate([first[starts], np.zeros(len(rest), bool)])),
         ],
         names=["doc_id", "key", "start_word", "end_word", "start_char", "end_char", "n_copies", "keep"],
     )
@@ -209,31 +223,45 @@ def _spans(table: pa.Table, min_words: int) -> pa.RecordBatch:
 def _sorted_buckets(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
+        size = last = 0
         for batch in batches:
-            a = batch.column("anchor").to_numpy()
+            if not len(batch):
+                continue
+            column = batch.schema.get_field_index("slice")
+            batch = batch.set_column(column, "slice", batch.column(column).dictionary_encode())
             held.append(batch)
-            size += batch.column("slice").nbytes
-            if size < SORT_WORDS * 6 or not len(a):
+            size += batch.nbytes
+            if size < max(SORT_WORDS * 6, 2 * last):
                 continue
-            table = pa.Table.from_batches(held)
+            # equal slices of a bucket that goes on and on are held once
+            table = pa.Table.from_batches(held).unify_dictionaries().combine_chunks()
             anchor = table.column("anchor").to_numpy()
             whole = int(np.searchsorted(anchor, anchor[-1]))  # the last bucket may go on
             if whole:
                 yield from _in_parts(table.slice(0, whole), min_words)
-                held = table.slice(whole).to_batches()
-                size = sum(x.column("slice").nbytes for x in held)
+                table = _compact(table.slice(whole))
+            held = table.to_batches()
+            size = last = table.nbytes
         if held:
-            yield from _in_parts(pa.Table.from_batches(held), min_words)
+            yield from _in_parts(pa.Table.from_batches(held).unify_dictionaries().combine_chunks(), min_words)
 
     return run
 
 
+def _compact(table: pa.Table) -> pa.Table:
+    """A slice of a table with only the dictionary entries that it uses."""
+    column = table.column("slice").combine_chunks()
+    used, of = np.unique(column.indices.to_numpy(), return_inverse=True)
+    own = pa.DictionaryArray.from_arrays(pa.array(of.astype(np.int32)), column.dictionary.take(pa.array(used)))
+    return table.set_column(table.schema.get_field_index("slice"), "slice", own).combine_chunks()
+
+
 def _in_parts(table: pa.Table, min_words: int) -> Iterator[pa.RecordBatch]:
     anchor = table.column("anchor").to_numpy()
     edges = np.append(np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])), len(anchor))
-    lengths = pc.binary_length(table.column("slice")).to_numpy()
-    total = np.append(0, np.cumsum(lengths))[edges]
+    column = table.column("slice").combine_chunks()
+    lengths = pc.binary_length(column.dictionary).to_numpy()[column.indices.to_numpy()]
+    total = np.append(0, np.cumsum(lengths.astype(np.int64)))[edges]
     a = 0
     while a < len(edges) - 1:
         b = max(a + 1, int(np.searchsorted(total, total[a] + SORT_WORDS * 6, "right")) - 1)
@@ -244,8 +272,8 @@ def _in_parts(table: pa.Table, min_words: int) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, start_word, end_word, start_char, end_char, n_words, n_copies, keep: a row for each span.
 
-    Ends are exclusive. n_copies: the most copies that a window of the span has. keep: the span is
-    the first of its copies; without the spans that have keep false, each passage is there once.
+    Ends are exclusive. n_copies: the most copies that a window of the span has. keep: the span is of
+    windows that are the first of their copies.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("length(text) > 0").withColumn("key", F.xxhash64("text"))
     anchors = texts.select("key", "text").mapInArrow(_anchors(min_words), "anchor long, key long, at int")
