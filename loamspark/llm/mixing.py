@@ -11,7 +11,8 @@ and each document's number of copies is the whole part of mu or one more.
 
 Random numbers are a hash of seed and doc_id, so a run can be repeated and an executor lost. No
 source is sorted whole: q is counted in BINS ranges, and only the range in which the sample ends is
-ranked. Nothing is broadcast by this code.
+ranked. Rows don't move but for that: each source's few numbers are broadcast, if there are no more
+than BROADCAST_SOURCES of them.
 
 A null source is a source of its own, of the default weight. A null or negative n_chars counts as 0.
 A null doc_id gets the random number of an empty text. Repeated rows count each, share their random
@@ -24,12 +25,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .components import checkpointed
+
 #: The weights of sources; any other has DEFAULT.
 WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 0.5}
 DEFAULT = 1.0
 FRACTION = 1.0
 SEED = 17
 BINS = 4096
+#: Up to so many sources their few numbers are broadcast; beyond, they are joined like any table.
+BROADCAST_SOURCES = 100_000
 
 
 def uniform(seed: int) -> Column:
@@ -44,10 +49,11 @@ def _prepared(docs: DataFrame, weights: dict[str, float], default: float, fracti
     # a null source is kept apart from one that is named ''
     base = docs.withColumns({"__source": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")), "__id": F.col("doc_id"), "__x": size})
     named = F.regexp_replace("__source", "^=", "")
-    sums = base.groupBy("__source").agg(F.count(F.lit(1)).alias("__n"), F.sum("__x").alias("__sum")).withColumn("__w", _weight(named, weights, default))
+    sums = checkpointed(base.groupBy("__source").agg(F.count(F.lit(1)).alias("__n"), F.sum("__x").alias("__sum")).withColumn("__w", _weight(named, weights, default)))
+    few = sums.count() <= BROADCAST_SOURCES
     total = sums.agg(F.sum("__n").alias("__all"), F.sum("__w").alias("__ws"))
     targets = sums.crossJoin(total).select("__source", "__sum", F.floor(F.col("__w") / F.col("__ws") * F.floor(F.lit(float(fraction)) * F.col("__all")) + 0.5).cast("long").alias("__t"))
-    joined = base.join(targets, "__source")
+    joined = base.join(F.broadcast(targets) if few else targets, "__source")
     joined = joined.withColumns({"__copies": F.expr("__t * __x div __sum"), "__rest": F.expr("__t * __x % __sum")})
     u = uniform(seed)
     q = (u * (F.col("__sum") - F.col("__rest"))) / ((1.0 - u) * F.col("__rest"))
@@ -59,7 +65,7 @@ def _prepared(docs: DataFrame, weights: dict[str, float], default: float, fracti
     drawn = F.when(F.col("__bin") >= 0, F.col("__k")).otherwise(0)
     hist = hist.withColumns({"__left": F.col("__t") - F.sum("__c").over(whole), "__upto": F.sum(drawn).over(upto), "__k": drawn})
     cut = hist.filter("__left > 0 and __upto >= __left and __upto - __k < __left").select("__source", F.col("__bin").alias("__cut"), (F.col("__left") - F.col("__upto") + F.col("__k")).alias("__room"))
-    return joined.join(cut, "__source", "left")
+    return joined.join(F.broadcast(cut) if few else cut, "__source", "left")
 
 
 def _weight(named: Column, weights: dict[str, float], default: float) -> Column:
