@@ -129,19 +129,17 @@ def html_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(r"WITH b AS (SELECT item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS e FROM benchmark), d AS (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM documents) SELECT doc_id, item_id FROM d JOIN b ON contains(t, e)")
 def evidence_contains(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs share their evidence's first eight words somewhere, so the join is on those and not all pairs."""
+    """A containing text has the evidence's inner words as words, so the join is on the longest of them, then verified."""
     from ..functions.text import squash
 
-    first = 8
     docs = table(spark, sf, "documents").select("doc_id", squash("text").alias("t"))
     items = table(spark, sf, "benchmark").select("item_id", squash("text").alias("e")).withColumn("w", F.split("e", " "))
-    long = items.filter(F.size("w") > first + 1)
-    # the second word on is whole within a containing text; the first may be the end of a longer word
-    keyed = long.select("item_id", "e", F.xxhash64(F.array_join(F.slice("w", 2, first), " ")).alias("k"))
-    grams = docs.select("doc_id", "t", F.split("t", " ").alias("w")).filter(F.size("w") >= first).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - first + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, first), " "))))).alias("k"))
-    near = grams.join(keyed, "k").select("doc_id", "item_id", "e").distinct()
+    inner = F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0)))
+    keyed = items.filter(F.size("w") > 2).select("item_id", "e", F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"].alias("k"))
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("t", " "))).alias("k"))
+    near = words.join(keyed, "k").select("doc_id", "item_id", "e").distinct()
     found = near.join(docs, "doc_id").filter(F.contains("t", "e")).select("doc_id", "item_id")
-    short = items.filter(F.size("w") <= first + 1)
+    short = items.filter(F.size("w") <= 2)
     return found.union(docs.join(short, F.contains("t", "e")).select("doc_id", "item_id"))
 
 
