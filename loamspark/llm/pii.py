@@ -11,8 +11,11 @@ characters it came from:
 
 Identifiers are detected in the normalised text: e-mail addresses, IP addresses, bank accounts
 (IBAN, checked modulo 97), cards (13 to 19 digits; 16 digits or a valid Luhn sum), US social security
-numbers, phone numbers, and secrets (keys, tokens, passwords). Where two overlap the first in KINDS
-is taken. A found span's ends are mapped back, so a disguised character counts whole.
+numbers, phone numbers, and secrets (keys, tokens, passwords). Of secrets, addresses and bank accounts
+that overlap the first in KINDS is taken. Cards, social security and phone numbers are sought in what
+these leave of a run of digits, however long: of all that fit there, those that cover most digits, so
+that one number doesn't swallow part of the next. A found span's ends are mapped back, so a disguised
+character counts whole.
 
 Whole texts are read. Null and empty texts have no span and are kept as they are; a null doc_id is
 carried as null; repeated rows have the same spans each. Other columns, whatever their names, are
@@ -65,11 +68,15 @@ _HALF = re.compile(rf"(?<![\w.+\-])(?=[\w.+\-]{{0,63}}[\d._+\-])[\w.+\-]{{1,64}}
 _DOTTED = re.compile(rf"\s{{1,3}}{_DOT}\s{{1,3}}", re.I)
 
 _EMAIL = re.compile(r"[A-Za-z0-9_%+\-](?:[A-Za-z0-9._%+\-]{0,62}[A-Za-z0-9_%+\-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])")
-_NUMBERS = re.compile(r"(?<![\w.])[+(]{0,2}\d[\d().\- ]{5,28}\d(?!\w)")
+_NUMBERS = re.compile(r"(?<![\w.])[+(]{0,2}\d[\d().\- ]{5,}\d(?!\w)")
+_FIRST = re.compile(r"(?<!\w)[+(\d]")
+_LAST = re.compile(r"\d(?![\w\-])")
 _IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\w|\.\d)")
 _CARD = re.compile(r"(?<![\w.+])\d(?:[ \-]?\d){12,18}(?![\w])")
 _SSN = re.compile(r"(?<![\w\-])(?!000|666|9)\d{3}([\- ])(?!00)\d\d\1(?!0000)\d{4}(?![\w\-])")
 _PHONE = re.compile(r"(?<![\w.\-+])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,5}\)[ .\-]?)?\d{1,5}(?:[ .\-]?\d{1,5}){1,5}|(?:1[ .\-])?\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}|(?:1[ .\-])?\d{3}([.\-])\d{3}\1\d{4}|\d{3} \d{3}[ \-]\d{4})(?![\w\-])")
+#: The first form of _PHONE, to be cut at a border of groups.
+_PLUS = re.compile(r"\+\d{1,3}[ .\-]?(?:\(\d{1,5}\)[ .\-]?)?\d{1,5}(?:[ .\-]?\d{1,5}){1,5}")
 _PLAIN = re.compile(r"(?<![\w.+\-])\+?\d{7,12}(?!\w)")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _SECRET = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9\-]{20,}|xox[abprs]-[A-Za-z0-9\-]{10,}|eyJ[\w\-]{10,}\.[\w\-]{10,}\.[\w\-]{10,})(?![A-Za-z0-9])|-----BEGIN [A-Z ]*PRIVATE KEY-----|(?i:\b(?:password|passwd|pwd|token|secret|api[_\-]?key|access[_\-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?P<value>[A-Za-z0-9_\-/+.!@#$%^&*]{8,}))")
@@ -178,6 +185,95 @@ def _iban(s: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+class Spans:
+    """Spans that don't overlap."""
+
+    def __init__(self) -> None:
+        self._starts: list[int] = []
+        self._ends: list[int] = []
+
+    def free(self, a: int, b: int) -> bool:
+        k = bisect_right(self._starts, a)
+        return (k == 0 or self._ends[k - 1] <= a) and (k == len(self._starts) or b <= self._starts[k])
+
+    def add(self, a: int, b: int) -> bool:
+        """Whether the span was free."""
+        if not self.free(a, b):
+            return False
+        k = bisect_right(self._starts, a)
+        self._starts.insert(k, a)
+        self._ends.insert(k, b)
+        return True
+
+    def gaps(self, a: int, b: int) -> list[tuple[int, int]]:
+        """What is free of a to b."""
+        out, k = [], max(0, bisect_right(self._starts, a) - 1)
+        while k < len(self._starts) and self._starts[k] < b:
+            if self._starts[k] > a:
+                out.append((a, self._starts[k]))
+            a = max(a, self._ends[k])
+            k += 1
+        return [*out, (a, b)] if a < b else out
+
+
+def _digits(s: str) -> int:
+    return sum(c.isdigit() for c in s)
+
+
+def _cards(t: str, a: int, b: int) -> Iterator[tuple[int, int, int]]:
+    """Spans that may be cards, and how sure each digit is."""
+    for m in _CARD.finditer(t, a, b):
+        digits = re.sub(r"\D", "", m[0])
+        if luhn(digits):
+            yield *m.span(), 2
+        elif len(digits) == 16:
+            yield *m.span(), 1
+
+
+def _phones(t: str, p: int, b: int) -> Iterator[tuple[int, int]]:
+    """Spans that may be phone numbers from p on: after a plus sign, all that end at a border of groups."""
+    m = _PHONE.match(t, p)
+    if m and t[p] != "+":
+        yield m.span()
+    elif t[p] == "+" and (p == 0 or not (t[p - 1].isalnum() or t[p - 1] in "_.-+")):
+        for e in _LAST.finditer(t, p, min(b, p + 64)):
+            last = e.end()
+            if last < len(t) and (t[last].isalnum() or t[last] in "_-"):
+                continue
+            if 8 <= _digits(t[p:last]) <= 15 and _PLUS.fullmatch(t, p, last):
+                yield p, last
+
+
+def _numbers(t: str, a: int, b: int) -> list[tuple[str, int, int]]:
+    """Cards, social security and phone numbers in a run: the choice that covers most digits, then the surest."""
+    fits = [("card", x, y, sure) for x, y, sure in _cards(t, a, b)]
+    for f in _FIRST.finditer(t, a, b):
+        p = f.start()
+        if (m := _SSN.match(t, p)) and m.end() <= b:
+            fits.append(("ssn", *m.span(), 3))
+        fits += [("phone", x, y, 2) for x, y in _phones(t, p, b) if y <= b and 8 <= _digits(t[x:y]) <= 15]
+    if len(fits) < 2:
+        return [f[:3] for f in fits]
+    fits.sort(key=lambda f: (f[2], -f[1]))
+    ends = [f[2] for f in fits]
+    best: list[tuple[int, int]] = [(0, 0)]  # of the first n, digits covered and how surely
+    take: list[int] = []  # the number of those that end before it, if it is taken
+    for n, (_, x, y, sure) in enumerate(fits):
+        before = bisect_right(ends, x, 0, n)
+        digits = _digits(t[x:y])
+        with_it = (best[before][0] + digits, best[before][1] + digits * sure)
+        take.append(before if with_it > best[-1] else -1)
+        best.append(max(with_it, best[-1]))
+    out, n = [], len(fits)
+    while n:
+        if take[n - 1] < 0:
+            n -= 1
+        else:
+            out.append(fits[n - 1][:3])
+            n = take[n - 1]
+    return out[::-1]
+
+
 def detect(text: str | None) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, normalised form) of the identifiers of a text, ends in source characters, in order."""
     if not text:
@@ -193,6 +289,7 @@ def detect(text: str | None) -> list[tuple[str, int, int, str]]:
     if any(k in low for k in _KEYWORDS):
         for m in _SECRET.finditer(t):
             add("secret", *(m.span("value") if m["value"] else m.span()))
+    runs: list[tuple[int, int]] = []
     if _WORTH.search(t):
         at = t.find("@")
         while at >= 0:
@@ -201,34 +298,29 @@ def detect(text: str | None) -> list[tuple[str, int, int, str]]:
                 if m.start() < at < m.end():
                     add("email", *m.span())
             at = t.find("@", at + 1)
-        for run in _NUMBERS.finditer(t):
-            a, b = run.span()
-            for m in _IP.finditer(t, a, b):
+        runs = [m.span() for m in _NUMBERS.finditer(t)]
+        for a, b in runs:
+            for m in _IP.finditer(t, a, min(len(t), b + 2)):  # it looks two characters ahead
                 add("ip", *m.span())
-            for m in _CARD.finditer(t, a, b):
-                digits = re.sub(r"\D", "", m[0])
-                if len(digits) == 16 or luhn(digits):
-                    add("card", *m.span())
-            for m in _SSN.finditer(t, a, b):
-                add("ssn", *m.span())
-            for m in _PHONE.finditer(t, a, b):
-                if 8 <= sum(c.isdigit() for c in m[0]) <= 15:
-                    add("phone", *m.span())
         for m in _IBAN.finditer(t):
             if _iban(m[0]):
                 add("iban", *m.span())
-        for a, b in _joined(n.spelled):
-            for m in _PLAIN.finditer(t, a, b):
-                add("phone", *m.span())
-            for m in _CARD.finditer(t, a, b):
-                if luhn(re.sub(r"\D", "", m[0])):
-                    add("card", *m.span())
-    out: list[tuple[str, int, int, str]] = []
-    taken: list[tuple[int, int]] = []
-    for k, a, b in sorted(found, key=lambda f: (f[0], f[1], -f[2])):
-        if all(b <= x or y <= a for x, y in taken):
-            taken.append((a, b))
-            out.append((KINDS[k], *n.source(a, b), t[a:b]))
+    chosen, taken = [], Spans()
+    by_kind = lambda f: (f[0], f[1], -f[2])
+    chosen += [f for f in sorted(found, key=by_kind) if taken.add(*f[1:])]
+    found.clear()
+    for a, b in runs:
+        for x, y in taken.gaps(a, b):
+            for f in _numbers(t, x, y):
+                add(*f)
+    for a, b in _joined(n.spelled):
+        for m in _PLAIN.finditer(t, a, b):
+            add("phone", *m.span())
+        for m in _CARD.finditer(t, a, b):
+            if luhn(re.sub(r"\D", "", m[0])):
+                add("card", *m.span())
+    chosen += [f for f in sorted(found, key=by_kind) if taken.add(*f[1:])]
+    out = [(KINDS[k], *n.source(a, b), t[a:b]) for k, a, b in chosen]
     return sorted(out, key=lambda s: s[1])
 
 

@@ -88,3 +88,25 @@ def test_rows_and_edge_cases(spark):
     assert by[1].text == "<EMAIL> <EMAIL>" and by[1].n_chars == 15 and by[1].kind == "k" and by[1]["__text"] == "t"
     assert by[2].text is None and by[2].n_chars is None and by[3].text == "" and by[4].n_chars == 1_000_007
     assert pii_spans(df.limit(0)).count() == 0 and masked(df.limit(0)).count() == 0
+
+
+ONE = {"ip": ["170.106.47.218", "8.8.8.8"], "phone": ["+1 (843) 555-7672", "(843) 555-7672", "+49 30 1234567"], "ssn": ["123-45-6789", "123 45 6789"], "email": ["a.b@example.com"]}
+
+
+@pytest.mark.parametrize("size", [2, 3, 4])
+def test_adjacent_identifiers(size):
+    rng = random.Random(size)
+    every = [(k, x) for k, xs in ONE.items() for x in xs]
+    chains = [(a, b) for a in every for b in every] if size == 2 else [rng.choices(every, k=size) for _ in range(300)]
+    chains += [[one] * size for one in every]
+    for chain in chains:
+        text = "see " + " ".join(x for _, x in chain) + " there"
+        assert [(k, text[a:b]) for k, a, b, _ in detect(text)] == [*chain], text
+
+
+def test_long_runs():
+    card = " ".join("4111111111111111")
+    assert [(k, f) for k, _, _, f in detect(f"x {card} y")] == [("card", card)]
+    text = " ".join(["8.8.4.4"] * 20_000)
+    assert len(detect(text)) == 20_000
+    assert detect("1.2.3.4.5x") == []
