@@ -14,8 +14,10 @@ Identifiers are detected in the normalised text: e-mail addresses, IP addresses,
 numbers, phone numbers, and secrets (keys, tokens, passwords). Of secrets, addresses and bank accounts
 that overlap the first in KINDS is taken. Cards, social security and phone numbers are sought in what
 these leave of a run of digits, however long: of all that fit there, those that cover most digits, so
-that one number doesn't swallow part of the next. A found span's ends are mapped back, so a disguised
-character counts whole.
+that one number doesn't swallow part of the next. Cards are sought from and to all borders of groups
+(_cards), then in any grouping in what is left; a phone number with a plus sign ends at any border of
+groups, after "+1" at 11 digits. A found span's ends are mapped back, so a disguised character counts
+whole.
 
 Whole texts are read. Null and empty texts have no span and are kept as they are; a null doc_id is
 carried as null; repeated rows have the same spans each. Other columns, whatever their names, are
@@ -73,6 +75,11 @@ _FIRST = re.compile(r"(?<!\w)[+(\d]")
 _LAST = re.compile(r"\d(?![\w\-])")
 _IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\w|\.\d)")
 _CARD = re.compile(r"(?<![\w.+])\d(?:[ \-]?\d){12,18}(?![\w])")
+#: Groups of digits that cards are sought in.
+_CHAIN = re.compile(r"(?<![\w.+])\d+(?:[ \-]\d+)*(?!\w)")
+_GROUP = re.compile(r"\d+")
+#: How the numbers of issuers with 16 digits begin.
+_ISSUER = re.compile(r"4|5[1-5]|2[2-7]|35|6[0245]")
 _SSN = re.compile(r"(?<![\w\-])(?!000|666|9)\d{3}([\- ])(?!00)\d\d\1(?!0000)\d{4}(?![\w\-])")
 _PHONE = re.compile(r"(?<![\w.\-+])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,5}\)[ .\-]?)?\d{1,5}(?:[ .\-]?\d{1,5}){1,5}|(?:1[ .\-])?\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}|(?:1[ .\-])?\d{3}([.\-])\d{3}\1\d{4}|\d{3} \d{3}[ \-]\d{4})(?![\w\-])")
 #: The first form of _PHONE, to be cut at a border of groups.
@@ -221,13 +228,41 @@ def _digits(s: str) -> int:
 
 
 def _cards(t: str, a: int, b: int) -> Iterator[tuple[int, int, int]]:
-    """Spans that may be cards, and how sure each digit is."""
-    for m in _CARD.finditer(t, a, b):
-        digits = re.sub(r"\D", "", m[0])
-        if luhn(digits):
-            yield *m.span(), 2
-        elif len(digits) == 16:
-            yield *m.span(), 1
+    """Cards beside other numbers: groups of a chain laid out as on cards, and how sure each digit is.
+
+    One group; groups of four digits and more, the last of three and more; single digits in a row. With
+    a valid Luhn sum, or 16 digits in one group, or in four groups of four with an issuer's first digits.
+    """
+    for chain in _CHAIN.finditer(t, a, b):
+        if _digits(chain[0]) < 13:
+            continue
+        groups = [m.span() for m in _GROUP.finditer(t, *chain.span())]
+        for i, (x, end) in enumerate(groups):
+            digits, fours = "", True
+            for j in range(i, min(len(groups), i + 5)):
+                c, y = groups[j]
+                digits += t[c:y]
+                if len(digits) > 19:
+                    break
+                fours &= y - c == 4
+                if len(digits) >= 13 and (j == i or y - c > 2 or len(digits) == 13) and not (j > i and re.match(r"/\d", t[y : y + 2])):
+                    if luhn(digits):
+                        yield x, y, 2
+                    elif len(digits) == 16 and (j == i or fours and j == i + 3 and _ISSUER.match(digits)):
+                        yield x, y, 1
+                if y - c < 4:
+                    break
+        i = 0
+        while i < len(groups):
+            j = i
+            while j < len(groups) and groups[j][1] - groups[j][0] == 1:
+                j += 1
+            digits = "".join(t[x] for x, _ in groups[i:j])
+            for k, m in {(0, j - i), *((k, n) for n in (15, 16) for k in (0, j - i - n))}:
+                one = digits[k : k + m]
+                if k >= 0 and 13 <= len(one) == m <= 19 and (luhn(one) and (m == j - i or one[0] in "3456") or len(one) == 16 == j - i):
+                    yield groups[i + k][0], groups[i + k + m - 1][1], 1 + luhn(one)
+            i = j + 1
 
 
 def _phones(t: str, p: int, b: int) -> Iterator[tuple[int, int]]:
@@ -236,22 +271,39 @@ def _phones(t: str, p: int, b: int) -> Iterator[tuple[int, int]]:
     if m and t[p] != "+":
         yield m.span()
     elif t[p] == "+" and (p == 0 or not (t[p - 1].isalnum() or t[p - 1] in "_.-+")):
+        fits = []
         for e in _LAST.finditer(t, p, min(b, p + 64)):
             last = e.end()
             if last < len(t) and (t[last].isalnum() or t[last] in "_-"):
                 continue
             if 8 <= _digits(t[p:last]) <= 15 and _PLUS.fullmatch(t, p, last):
-                yield p, last
+                fits.append((p, last))
+        if t[p + 1] == "1":  # there numbers have ten digits
+            fits = [f for f in fits if _digits(t[p : f[1]]) == 11] or fits
+        yield from fits
 
 
 def _numbers(t: str, a: int, b: int) -> list[tuple[str, int, int]]:
     """Cards, social security and phone numbers in a run: the choice that covers most digits, then the surest."""
-    fits = [("card", x, y, sure) for x, y, sure in _cards(t, a, b)]
+    fits = [("card", x, y, sure) for x, y, sure in dict.fromkeys(_cards(t, a, b))]
     for f in _FIRST.finditer(t, a, b):
         p = f.start()
         if (m := _SSN.match(t, p)) and m.end() <= b:
             fits.append(("ssn", *m.span(), 3))
         fits += [("phone", x, y, 2) for x, y in _phones(t, p, b) if y <= b and 8 <= _digits(t[x:y]) <= 15]
+    out = _best(t, fits)
+    left = Spans()
+    for _, x, y in out:
+        left.add(x, y)
+    for x, y in left.gaps(a, b):
+        for m in _CARD.finditer(t, x, y):
+            digits = re.sub(r"\D", "", m[0])
+            if len(digits) == 16 or luhn(digits):
+                out.append(("card", *m.span()))
+    return out
+
+
+def _best(t: str, fits: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int]]:
     if len(fits) < 2:
         return [f[:3] for f in fits]
     fits.sort(key=lambda f: (f[2], -f[1]))

@@ -110,3 +110,30 @@ def test_long_runs():
     text = " ".join(["8.8.4.4"] * 20_000)
     assert len(detect(text)) == 20_000
     assert detect("1.2.3.4.5x") == []
+
+
+CARDS = ["4111 1111 1111 1111", "5500-0000-0000-0004", "4111111111111111", "3782 822463 10005", " ".join("4111111111111111"), "6221 2612 3456 7890 129"]
+
+
+@pytest.mark.parametrize("card", CARDS)
+@pytest.mark.parametrize("beside", ["{} 12/25", "{} 123", "2 {}", "12 {} 7", "x1 {} 1,000", "{} 2024"])
+def test_cards_beside_numbers(card, beside):
+    assert luhn("".join(c for c in card if c.isdigit()))
+    text = f"pay {beside.format(card)} now"
+    got = [(k, text[a:b]) for k, a, b, _ in detect(text)]
+    assert got == [("card", card)]
+
+
+@pytest.mark.parametrize("other", [("card", x) for x in CARDS] + [(k, x) for k, xs in ONE.items() for x in xs])
+@pytest.mark.parametrize("card", CARDS)
+def test_cards_beside_identifiers(card, other):
+    for chain in ([("card", card), other], [other, ("card", card)]):
+        text = "see " + " ".join(x for _, x in chain) + " there"
+        assert [(k, text[a:b]) for k, a, b, _ in detect(text)] == chain, text
+
+
+@pytest.mark.parametrize("after", ["20230405", "1234 5678", "12 34 56 78", "9"])
+def test_phones_beside_numbers(after):
+    for phone in ("+1 (843) 555-7672", "+1 843-555-7672"):
+        text = f"call {phone} {after} now"
+        assert [(k, text[a:b]) for k, a, b, _ in detect(text)] == [("phone", phone)]
