@@ -7,7 +7,10 @@ characters it came from:
    one character for one;
 2. invisible characters are dropped, "[at]", "(dot)" and the like become "@" and ".", "name at host
    dot com" becomes "name@host.com", runs of spelled digits (English, German, French, Spanish, also
-   mixed with digits) become digits.
+   mixed with digits) become digits. After a bare "at" a host ends in a top-level domain of IANA's list;
+   after "@" or "[at]", and after a name with digits or punctuation before a spelled dot, in any
+   letters. "name at host.tld" with a name of letters only is taken at mail providers' hosts and after
+   a cue such as "mail" or "contact", as texts name sites in the same way ("available at host.tld").
 
 Identifiers are detected in the normalised text: e-mail addresses, IP addresses, bank accounts
 (IBAN, checked modulo 97), cards (13 to 19 digits; 16 digits or a valid Luhn sum), US social security
@@ -34,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .top_domains import TOP_DOMAINS
+
 KINDS = ("secret", "email", "iban", "ip", "card", "ssn", "phone")
 
 _LOOKS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "һ": "h", "ӏ": "l", "ո": "n", "ɡ": "g", "ı": "i", "ν": "v", "ο": "o", "α": "a", "ρ": "p", "κ": "k", "τ": "t", "ι": "i", "υ": "u", "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "У": "Y", "І": "I", "Ѕ": "S", "Ј": "J", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "﹫": "@", "﹒": ".", "․": ".", "。": ".", "‐": "-", "‑": "-", "–": "-", "−": "-", "﹣": "-", "\u00a0": " ", "\u2009": " ", "\u202f": " ", "\u3000": " "}
@@ -63,11 +68,19 @@ _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
 _AT = r"(?:at|arroba|chez|ät)"
 _DOT = r"(?:dot|punkt|punto|point)"
 _BRACKET = re.compile(rf"\s{{0,3}}[\[({{<]\s{{0,3}}(?:(?P<at>{_AT}|@)|(?P<dot>{_DOT}|\.))\s{{0,3}}[\])}}>]\s{{0,3}}", re.I)
-#: Without brackets or "@", only what ends in one of these is taken for a host.
-_TOP = r"(?:com|org|net|edu|gov|mil|int|info|biz|name|io|ai|app|dev|co|eu|uk|us|ca|au|nz|ie|de|at|ch|fr|be|nl|lu|es|pt|it|gr|pl|cz|sk|hu|ro|bg|dk|se|no|fi|is|ee|lv|lt|ru|ua|tr|il|in|cn|jp|kr|tw|hk|sg|br|mx|ar|cl|za|example|test)"
-_SPACED = re.compile(rf"(?<![\w.+\-])[\w.+\-]{{1,64}}(?P<at>\s{{1,3}}at\s{{1,3}}|\s{{0,3}}@\s{{0,3}})(?P<host>[\w\-]{{1,63}}(?:(?:\s{{1,3}}{_DOT}\s{{1,3}}|\.)[\w\-]{{1,63}}){{0,4}}\s{{1,3}}{_DOT}\s{{1,3}}{_TOP})(?!\w)", re.I)
-_HALF = re.compile(rf"(?<![\w.+\-])(?=[\w.+\-]{{0,63}}[\d._+\-])[\w.+\-]{{1,64}}(?P<at>\s{{1,3}}at\s{{1,3}})[a-z0-9\-]{{1,63}}(?:\.[a-z0-9\-]{{1,63}}){{0,4}}\.{_TOP}(?![\w\-])", re.I)
-_DOTTED = re.compile(rf"\s{{1,3}}{_DOT}\s{{1,3}}", re.I)
+#: After a bare "at" these end a host whatever stands before them; the others of IANA's list are words and names of files too.
+_COMMON_TOPS = frozenset("com org net edu gov mil int info biz name io ai app dev co eu uk us ca au nz ie de at ch fr be nl lu es pt it gr pl cz sk hu ro bg dk se no fi is ee lv lt ru ua tr il in cn jp kr tw hk sg br mx ar cl za example test".split())
+_FILES = frozenset("cc md mov ps py rs sh so zip".split())
+_DETERMINERS = frozenset("a an the this that these those each every any some no my your his her its our their which what one".split())
+_MARK = rf"\s{{0,3}}[\[({{<]\s{{0,3}}(?:%s)\s{{0,3}}[\])}}>]\s{{0,3}}"
+_SEPARATOR = rf"(?:\s{{1,3}}{_DOT}\s{{1,3}}|{_MARK % rf'{_DOT}|[.]'}|\.)"
+_ADDRESS = re.compile(rf"(?<![\w.+\-])(?P<local>[\w.+\-]{{1,64}})(?P<at>\s{{1,3}}at\s{{1,3}}|\s{{0,3}}@\s{{0,3}}|{_MARK % rf'{_AT}|@'})(?P<host>[\w\-]{{1,63}}(?:{_SEPARATOR}[\w\-]{{1,63}}){{1,5}})", re.I)
+_BETWEEN = re.compile(_SEPARATOR, re.I)
+#: "word at host.tld" is an address only at one of these hosts or after one of these cues, as sites are named like that too.
+_PROVIDERS = re.compile(r"(?:gmail|googlemail|yahoo|ymail|hotmail|outlook|live|msn|aol|icloud|me|mac|gmx|web|t-online|freenet|proton|protonmail|pm|zoho|mail|inbox|yandex|rambler|fastmail|hey|tutanota|tuta|orange|wanadoo|laposte|free|sfr|libero|comcast|verizon|qq|163|126|naver|hanmail)\.(?:[a-z]{2,3}\.)?[a-z]{2,4}", re.I)
+_CUE = re.compile(r"(?:\b(?:e-?mails?|mails?|mailto|contact|reach|write(?: to)?|ask|address|adresse|correo|courriel|kontakt)\b(?: (?:is|me|to|at|for|an|a|de))?\s?:?\s{1,2})\Z", re.I)
+_NO_NAMES = frozenset("a all also am an and are as available be been but by can check click do find for found free from go has have here him his home hosted i in info is it its just like listed live located log look me meet more my now of on online only or out over page posted published read register see sign site sites so store that the them there these they this to today up us visit was we website were which with you your".split())
+_SPACED_AT = re.compile(r"\sat\s")
 
 _EMAIL = re.compile(r"[A-Za-z0-9_%+\-](?:[A-Za-z0-9._%+\-]{0,62}[A-Za-z0-9_%+\-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])")
 _NUMBERS = re.compile(r"(?<![\w.])[+(]{0,2}\d[\d().\- ]{5,}\d(?!\w)")
@@ -91,6 +104,52 @@ _WORTH = re.compile(r"[0-9@]")
 _KEYWORDS = ("akia", "gho_", "ghp_", "ghs_", "ghu_", "sk-", "xox", "eyj", "pass", "pwd", "token", "secret", "key")
 
 
+def _host(m: re.Match, t: str) -> list[tuple[int, int]] | None:
+    """The separators of the host in a match of _ADDRESS, as far as it is one."""
+    seps = [d.span() for d in _BETWEEN.finditer(t, *m.span("host"))]
+    starts = [m.start("host"), *(y for _, y in seps)]
+    ends = [*(x for x, _ in seps), m.end("host")]
+    labels = [t[x:y].lower() for x, y in zip(starts, ends)]
+    local, at = m["local"], m["at"]
+    bare = at.strip().lower() == "at"
+    mention = at[-1] == "@" and at != "@"  # "thanks @name"
+    unlike_word = not local.isalpha()
+    for n in range(len(seps), 0, -1):
+        top = labels[n]
+        spelled = any(t[x:y] != "." for x, y in seps[:n])
+        if top not in TOP_DOMAINS:
+            continue
+        if not bare:
+            return seps[:n]
+        if top not in _COMMON_TOPS and (labels[0] in _DETERMINERS or not spelled and (local.isdigit() or n == 1 and top in _FILES)):
+            continue
+        if spelled or unlike_word:
+            return seps[:n]
+        if local.lower() not in _NO_NAMES and (_PROVIDERS.fullmatch(t, starts[0], ends[n]) or _CUE.search(t, max(0, m.start() - 30), m.start())):
+            return seps[:n]
+    for n in range(len(seps), 0, -1):
+        spelled = any(t[x:y] != "." for x, y in seps[:n])
+        if re.fullmatch("[a-z]{2,24}", labels[n]) and not mention and (not bare or spelled and unlike_word and local.strip(".").isascii() and not local.isdigit() and local[-1] != "."):
+            return seps[:n]
+    return None
+
+
+def _addresses(t: str) -> Iterator[tuple[int, int, str]]:
+    """The edits that make addresses of disguised ones."""
+    m = _ADDRESS.search(t)
+    while m:
+        seps = _host(m, t)
+        if seps is None:
+            m = _ADDRESS.search(t, m.start("host"))
+            continue
+        if m["at"] != "@":
+            yield *m.span("at"), "@"
+        for x, y in seps:
+            if t[x:y] != ".":
+                yield x, y, "."
+        m = _ADDRESS.search(t, seps[-1][1])
+
+
 class Normalised:
     """A normalised text with the way back: changes are (start, end) there and (start, end) in the source."""
 
@@ -111,12 +170,8 @@ class Normalised:
         if "(" in t or "[" in t or "{" in t or "<" in t:
             edits += [(*m.span(), "@" if m["at"] else ".", False) for m in _BRACKET.finditer(t)]
         low = t.lower()
-        if " at " in low or "@" in t or "\nat " in low or " at\n" in low:
-            if "dot" in low or "punkt" in low or "punto" in low or "point" in low:
-                for m in _SPACED.finditer(t):
-                    edits.append((*m.span("at"), "@", False))
-                    edits += [(m.start("host") + d.start(), m.start("host") + d.end(), ".", False) for d in _DOTTED.finditer(m["host"])]
-            edits += [(*m.span("at"), "@", False) for m in _HALF.finditer(t)]
+        if "@" in t or "at" in low and _SPACED_AT.search(low) or any(t[x] == "@" or e == "@" for x, _, e, _ in edits):
+            edits += [(*e, False) for e in _addresses(t)]
         if _TRIO.search(low):
             for m in _SPELLED.finditer(t):
                 tokens = list(_TOKEN.finditer(t, *m.span()))

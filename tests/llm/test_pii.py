@@ -137,3 +137,35 @@ def test_phones_beside_numbers(after):
     for phone in ("+1 (843) 555-7672", "+1 843-555-7672"):
         text = f"call {phone} {after} now"
         assert [(k, text[a:b]) for k, a, b, _ in detect(text)] == [("phone", phone)]
+
+
+@pytest.mark.parametrize(
+    "shown, form",
+    [
+        ("jane at corp dot xyz", "jane@corp.xyz"),
+        *((f"jane at corp dot {top}", f"jane@corp.{top}") for top in "me tv online tech kz ae".split()),
+        ("jane_7 at corp dot intranet", "jane_7@corp.intranet"),
+        ("jane.d at mail.corp.online", "jane.d@mail.corp.online"),
+        ("jane at gmail.com", "jane@gmail.com"),
+        ("jane @ gmail.com", "jane@gmail.com"),
+        ("jane @gmail.com", "jane@gmail.com"),
+        ("jane @ corp.intranet", "jane@corp.intranet"),
+        ("jane@corp dot xyz", "jane@corp.xyz"),
+        ("jane (at) corp dot xyz", "jane@corp.xyz"),
+        ("jane at corp [dot] xyz", "jane@corp.xyz"),
+        ("jane [at] mail dot corp (dot) tech", "jane@mail.corp.tech"),
+    ],
+)
+def test_spaced_addresses(shown, form):
+    text = f"so {shown}, please"
+    assert [(k, text[a:b], f) for k, a, b, f in detect(text)] == [("email", shown, form)]
+
+
+def test_names_of_letters_after_a_cue():
+    text = "write to jane at corp.tech today"
+    assert [text[a:b] for _, a, b, _ in detect(text)] == ["jane at corp.tech"]
+
+
+@pytest.mark.parametrize("text", ["it is available at arxiv.org today", "look at the dot to the left", "thanks @bob point taken", "error 34 at main.rs", "contact us at example.com", "lunch @ noon", "line 7 at foo.py"])
+def test_no_addresses(text):
+    assert detect(text) == []
