@@ -1,15 +1,16 @@
 """Operator 8: near copies among embeddings by sorted projection passes.
 
-In each of PASSES passes every vector gets a key of 64 bits, the signs of its products with random
+Equal vectors are one node, so copies take no places of others. In each pass every distinct vector gets a key of 64 bits, the signs of its products with random
 directions of that pass, and vectors are ordered by it, which is lexicographically by the
 concatenated hashes. Each is compared with the NEIGHBOURS that follow it; pairs whose cosine is at
 least `least` are verified. Groups are the connected components of the pairs of all passes together.
 
 All passes are one range-partitioned sort. Windows go over the ends of partitions: each partition
 also hands on its first and last NEIGHBOURS rows, with its number of rows, and those (a few rows a
-partition, not a share of the vectors) are compared in order of place. Recall is approximate: each
-pass finds most near pairs, and a group is found whole if its pairs connect it; tests hold it
-against brute force.
+partition, not a share of the vectors) are compared in order of place. Recall is approximate: a pass
+finds a pair that shares about log2(vectors / NEIGHBOURS) first bits, so the number of passes grows
+with that of distinct vectors (`passes_for`) to find RECALL of the pairs at the threshold itself; a
+group is found whole if its pairs connect it. Tests hold it against brute force and at 400,000 vectors.
 
 Null, empty and zero vectors and those with a null or non-finite element are in no group. Vectors
 are compared only with those of the same length. A null vec_id is a row like any other and goes
@@ -19,6 +20,7 @@ columns, whatever their names, are not looked at.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,21 @@ from pyspark.sql import functions as F
 from .components import checkpointed, connected_components
 
 LEAST = 0.95
-PASSES, NEIGHBOURS, SEED = 8, 24, 5
+PASSES, NEIGHBOURS, SEED = 8, 24, 5  # PASSES at least
+RECALL = 0.95
+
+
+def passes_for(distinct: int, least: float = LEAST, width: int = NEIGHBOURS) -> int:
+    """Passes that find RECALL of the pairs of cosine `least` among so many vectors.
+
+    One bit of two such vectors is equal with probability 1 - angle / pi; a window spans the vectors
+    that share about log2(distinct / width) bits.
+    """
+    equal = 1 - math.acos(max(-1.0, min(1.0, least))) / math.pi
+    found = equal ** max(0.0, math.log2(max(distinct, 1) / width))
+    if found >= RECALL:
+        return PASSES
+    return min(1000, max(PASSES, math.ceil(math.log(1 - RECALL) / math.log1p(-found)))) if found > 0 else PASSES
 
 
 def directions(dim: int, nth: int, seed: int) -> np.ndarray:
@@ -149,12 +165,14 @@ def _over_ends(width: int, least: float):
 
 def _nodes(table: DataFrame) -> DataFrame:
     vector = F.col("embedding").cast("array<float>")
-    return table.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector")).withColumn("node", F.xxhash64("vec_id", "vector"))
+    return table.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector")).withColumn("node", F.xxhash64("vector"))
 
 
-def near_pairs(nodes: DataFrame, least: float = LEAST, passes: int = PASSES, width: int = NEIGHBOURS, seed: int = SEED) -> DataFrame:
-    """Verified pairs u, v of nodes (node, vector)."""
+def near_pairs(nodes: DataFrame, least: float = LEAST, passes: int | None = None, width: int = NEIGHBOURS, seed: int = SEED) -> DataFrame:
+    """Verified pairs u, v of nodes (node, vector). passes: by the number of distinct vectors, if not given."""
     whole = nodes.filter("size(vector) > 0 and not exists(vector, x -> x is null)").select("node", "vector").dropDuplicates(["node"])
+    if passes is None:
+        passes = passes_for(nodes.agg(F.approx_count_distinct("node")).first()[0], least, width)
     keyed = whole.mapInArrow(_keyed(passes, seed), "part long, key long, node long, vector binary")
     ordered = keyed.repartitionByRange("part", "key", "node").sortWithinPartitions("part", "key", "node")
     found = checkpointed(ordered.mapInArrow(_windows(width, least), _EDGE))
@@ -171,9 +189,9 @@ def embedding_groups(table: DataFrame, least: float = LEAST) -> DataFrame:
     roots = connected_components(near_pairs(nodes, least))
     usable = nodes.filter("size(vector) > 0 and exists(vector, x -> x <> 0) and not exists(vector, x -> x is null or isnan(x) or abs(x) = float('inf'))")
     all_ = Window.partitionBy("root")
-    first = all_.orderBy(F.asc_nulls_last("vec_id"), "node")
+    first = all_.orderBy(F.asc_nulls_last("vec_id"), "row")
     return (
-        usable.select("vec_id", "node")
+        usable.select("vec_id", "node", F.xxhash64("vec_id", "vector").alias("row"))
         .join(roots, "node", "left")
         .withColumn("root", F.coalesce("root", "node"))
         .withColumns({"n_members": F.count(F.lit(1)).over(all_), "group_id": F.min("vec_id").over(all_), "n": F.row_number().over(first)})

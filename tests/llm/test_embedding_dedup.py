@@ -1,5 +1,6 @@
 import numpy as np
 
+from loamspark.llm import embedding_dedup as module
 from loamspark.llm.embedding_dedup import LEAST, _nodes, embedding_groups, near_pairs
 
 SCHEMA = "vec_id long, embedding array<float>, label int, node string, vector string"
@@ -52,3 +53,37 @@ def test_edge_cases(spark):
     got = sorted((r.vec_id or -1, r.group_id, r.n_members, r.keep) for r in embedding_groups(df).collect())
     assert got == [(-1, 1, 4, False), (1, 1, 4, False), (1, 1, 4, True), (2, 1, 4, False), (11, 11, 2, True), (12, 11, 2, False)]
     assert embedding_groups(df.limit(0)).count() == 0
+
+
+def planted(n, pairs, dim=64, seed=3):
+    """Unit vectors; those at i and pairs + i have a cosine of 0.95 to 0.96."""
+    rng = np.random.default_rng(seed)
+    v = rng.standard_normal((n, dim), dtype=np.float32)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    a, c = v[:pairs], rng.uniform(0.951, 0.96, (pairs, 1))
+    o = rng.standard_normal((pairs, dim))
+    o -= (o * a).sum(1)[:, None] * a
+    v[pairs : 2 * pairs] = c * a + np.sqrt(1 - c * c) * o / np.linalg.norm(o, axis=1)[:, None]
+    return v
+
+
+def test_recall_does_not_fall_with_the_table():
+    n, pairs = 400_000, 2_000
+    v, hit = planted(n, pairs), np.zeros(2_000, bool)
+    for nth in range(module.passes_for(n) if hasattr(module, "passes_for") else module.PASSES):
+        place = np.empty(n, np.int64)
+        place[np.argsort(module.sort_keys(v, nth, module.SEED), kind="stable")] = np.arange(n)
+        hit |= np.abs(place[:pairs] - place[pairs : 2 * pairs]) <= module.NEIGHBOURS
+    assert hit.mean() >= 0.93
+
+
+def test_copies_take_no_places(spark):
+    # a window as wide as the number of distinct vectors still holds all of them
+    v = vectors(30, 8, 2)
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    want = int((np.triu(u @ u.T >= 0.8, 1)).sum())
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "i long, embedding array<float>")
+    often = df.selectExpr("explode(sequence(0, 19)) as k", "i", "embedding").selectExpr(f"k * {len(v)} + i as vec_id", "embedding")
+    assert near_pairs(_nodes(often), 0.8, 1, len(v)).count() == want
+    groups = embedding_groups(often, 1.1).selectExpr("count(*)", "sum(int(keep))", "min(n_members)", "max(n_members)", "max(group_id)").first()
+    assert tuple(groups) == (20 * len(v), len(v), 20, 20, len(v) - 1)
