@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .components import checkpointed, connected_components
 from .kernels import U64, Words, chunks, mix, text_buffers
 
-BITS, SEGMENTS, CUTS = 256, 8, 3
+BITS, SEGMENTS, CUTS = 256, 8, 9
 MOST = 40
 #: Rows that are joined together, at least; whole routes only.
 JOIN_ROWS = 150_000

@@ -5,7 +5,7 @@ import pyarrow as pa
 
 from loamspark.llm.components import connected_components
 from loamspark.llm.kernels import text_buffers
-from loamspark.llm.simhash_dedup import MOST, copy_groups, fingerprints, without_copies
+from loamspark.llm.simhash_dedup import MOST, copy_groups, fingerprints, near_pairs, without_copies
 
 SCHEMA = "doc_id long, text string, key string, root string, __key string"
 
@@ -75,3 +75,13 @@ def test_edge_cases(spark):
     assert sorted((r.doc_id or -1) for r in left.collect()) == [-1, 1, 3, 4, 5, 6, 7, 9]
     empty = spark.createDataFrame([], SCHEMA)
     assert copy_groups(empty).count() == 0 and without_copies(empty).count() == 0
+
+
+def test_recall_at_far_pairs(spark):
+    rng, pairs = np.random.default_rng(5), 3_000
+    one = rng.integers(0, 2, (pairs, 256), dtype=np.uint8)
+    flips = np.argsort(np.argsort(rng.random((pairs, 256)), 1), 1) < rng.integers(35, 41, (pairs, 1))
+    sigs = np.packbits(np.concatenate([one, one ^ flips]), axis=1)
+    nodes = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sigs)], "node long, sig binary")
+    found = {tuple(sorted(p)) for p in near_pairs(nodes).collect()}
+    assert sum((i, pairs + i) in found for i in range(pairs)) >= 0.9 * pairs
