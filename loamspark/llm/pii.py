@@ -22,8 +22,10 @@ that one number doesn't swallow part of the next. Cards are sought from and to a
 groups, after "+1" at 11 digits. A found span's ends are mapped back, so a disguised character counts
 whole.
 
-Whole texts are read. Null and empty texts have no span and are kept as they are; a null doc_id is
-carried as null; repeated rows have the same spans each. Other columns, whatever their names, are
+Whole texts are read, and time grows with their length: numerals, edits and spans are each gone through
+once, in order. A host has at most the 127 labels that the domain name system allows; a name before "at"
+64 characters, as mail allows. Null and empty texts have no span and are kept as they are; a null doc_id is
+carried as null; repeated rows have the same spans each; an empty table gives an empty result. Other columns, whatever their names, are
 carried along by `masked` and not looked at.
 """
 
@@ -59,11 +61,12 @@ for _words in (
         _DIGITS[_word] = str(_d)
 _DIGITS |= {"oh": "0", "zwo": "2"}
 _D = "(?:" + "|".join(sorted(_DIGITS, key=len, reverse=True)) + ")"
-#: Seven or more spelled digits or groups of digits in a row, at least three of them spelled in a row.
-_SPELLED = re.compile(rf"(?<!\w)(?:\+|plus[ \-]+)?(?:(?:{_D}|\d{{1,6}})[ ,.\-]{{1,3}})*{_D}[ ,.\-]{{1,3}}{_D}[ ,.\-]{{1,3}}{_D}(?:[ ,.\-]{{1,3}}(?:{_D}|\d{{1,6}}))*(?!\w)", re.I)
+#: A spelled digit or a group of digits; runs of these are taken of which three in a row are spelled, of seven digits or more.
+_NUMERAL = re.compile(rf"(?<!\w)(?:(?P<word>{_D})|\d{{1,6}})(?!\w)", re.I)
+_APART = re.compile(r"[ ,.\-]{1,3}")
+_PLUS_BEFORE = re.compile(r"(?<!\w)(?:\+|plus[ \-]+)\Z", re.I)
 #: Sought in lower case first, without flags, which is several times as fast.
 _TRIO = re.compile(rf"{_D}[ ,.\-]{{1,3}}{_D}[ ,.\-]{{1,3}}{_D}")
-_TOKEN = re.compile(rf"{_D}|\d+|plus|\+", re.I)
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
 _AT = r"(?:at|arroba|chez|ät)"
 _DOT = r"(?:dot|punkt|punto|point)"
@@ -74,7 +77,7 @@ _FILES = frozenset("cc md mov ps py rs sh so zip".split())
 _DETERMINERS = frozenset("a an the this that these those each every any some no my your his her its our their which what one".split())
 _MARK = rf"\s{{0,3}}[\[({{<]\s{{0,3}}(?:%s)\s{{0,3}}[\])}}>]\s{{0,3}}"
 _SEPARATOR = rf"(?:\s{{1,3}}{_DOT}\s{{1,3}}|{_MARK % rf'{_DOT}|[.]'}|\.)"
-_ADDRESS = re.compile(rf"(?<![\w.+\-])(?P<local>[\w.+\-]{{1,64}})(?P<at>\s{{1,3}}at\s{{1,3}}|\s{{0,3}}@\s{{0,3}}|{_MARK % rf'{_AT}|@'})(?P<host>[\w\-]{{1,63}}(?:{_SEPARATOR}[\w\-]{{1,63}}){{1,5}})", re.I)
+_ADDRESS = re.compile(rf"(?<![\w.+\-])(?P<local>[\w.+\-]{{1,64}})(?P<at>\s{{1,3}}at\s{{1,3}}|\s{{0,3}}@\s{{0,3}}|{_MARK % rf'{_AT}|@'})(?P<host>[\w\-]{{1,63}}(?:{_SEPARATOR}[\w\-]{{1,63}}){{1,126}})", re.I)
 _BETWEEN = re.compile(_SEPARATOR, re.I)
 #: "word at host.tld" is an address only at one of these hosts or after one of these cues, as sites are named like that too.
 _PROVIDERS = re.compile(r"(?:gmail|googlemail|yahoo|ymail|hotmail|outlook|live|msn|aol|icloud|me|mac|gmx|web|t-online|freenet|proton|protonmail|pm|zoho|mail|inbox|yandex|rambler|fastmail|hey|tutanota|tuta|orange|wanadoo|laposte|free|sfr|libero|comcast|verizon|qq|163|126|naver|hanmail)\.(?:[a-z]{2,3}\.)?[a-z]{2,4}", re.I)
@@ -82,7 +85,7 @@ _CUE = re.compile(r"(?:\b(?:e-?mails?|mails?|mailto|contact|reach|write(?: to)?|
 _NO_NAMES = frozenset("a all also am an and are as available be been but by can check click do find for found free from go has have here him his home hosted i in info is it its just like listed live located log look me meet more my now of on online only or out over page posted published read register see sign site sites so store that the them there these they this to today up us visit was we website were which with you your".split())
 _SPACED_AT = re.compile(r"\sat\s")
 
-_EMAIL = re.compile(r"[A-Za-z0-9_%+\-](?:[A-Za-z0-9._%+\-]{0,62}[A-Za-z0-9_%+\-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])")
+_EMAIL = re.compile(r"[A-Za-z0-9_%+\-](?:[A-Za-z0-9._%+\-]{0,62}[A-Za-z0-9_%+\-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.){1,126}[A-Za-z]{2,24}(?![A-Za-z0-9])")
 _NUMBERS = re.compile(r"(?<![\w.])[+(]{0,2}\d[\d().\- ]{5,}\d(?!\w)")
 _FIRST = re.compile(r"(?<!\w)[+(\d]")
 _LAST = re.compile(r"\d(?![\w\-])")
@@ -150,6 +153,30 @@ def _addresses(t: str) -> Iterator[tuple[int, int, str]]:
         m = _ADDRESS.search(t, seps[-1][1])
 
 
+def _spelled(t: str) -> Iterator[tuple[int, int, str]]:
+    """The edits that make digits of runs of spelled ones, in one pass over the numerals of a text."""
+
+    def edits(run: list[re.Match]) -> Iterator[tuple[int, int, str]]:
+        digits = [_DIGITS[m[0].lower()] if m["word"] else m[0] for m in run]
+        words = "".join("w" if m["word"] else " " for m in run)
+        if "www" in words:
+            at = run[0].start()
+            plus = _PLUS_BEFORE.search(t, max(0, at - 12), at)
+            if sum(map(len, digits)) + (plus is not None) >= 7:
+                if plus:
+                    yield plus.start(), at, "+"
+                for m, end, d in zip(run, [*(x.start() for x in run[1:]), run[-1].end()], digits):
+                    yield m.start(), end, d
+
+    run: list[re.Match] = []
+    for m in _NUMERAL.finditer(t):
+        if run and not _APART.fullmatch(t, run[-1].end(), m.start()):
+            yield from edits(run)
+            run = []
+        run.append(m)
+    yield from edits(run)
+
+
 class Normalised:
     """A normalised text with the way back: changes are (start, end) there and (start, end) in the source."""
 
@@ -173,19 +200,14 @@ class Normalised:
         if "@" in t or "at" in low and _SPACED_AT.search(low) or any(t[x] == "@" or e == "@" for x, _, e, _ in edits):
             edits += [(*e, False) for e in _addresses(t)]
         if _TRIO.search(low):
-            for m in _SPELLED.finditer(t):
-                tokens = list(_TOKEN.finditer(t, *m.span()))
-                digits = [_DIGITS.get(x[0].lower(), "+" if x[0].lower() in ("plus", "+") else x[0]) for x in tokens]
-                if sum(map(len, digits)) < 7:
-                    continue
-                ends = [x.start() for x in tokens[1:]] + [m.end()]
-                edits += [(x.start(), e, d, True) for x, e, d in zip(tokens, ends, digits)]
+            edits += [(*e, True) for e in _spelled(t)]
         if edits:
             self._apply(sorted(edits, key=lambda e: e[:2]))
 
     def _apply(self, edits: list[tuple[int, int, str, bool]]) -> None:
         """Change the text; edits that begin within an earlier one are left out."""
         out, at, size, changes = [], 0, 0, []
+        ends, shifts = [], [0]  # of the edits made: where they end, and by how much all up to each move what follows
         for start, end, new, spelled in edits:
             if start < at:
                 continue
@@ -198,20 +220,15 @@ class Normalised:
             out.append(new)
             size += len(new)
             at = end
+            ends.append(end)
+            shifts.append(shifts[-1] + len(new) - (end - start))
         # earlier changes that stand, moved
-        old = [c for c in self._changes if not any(a <= c[2] and c[3] <= b for _, _, a, b in changes)]
-        shift = [(e[0], e[1], e[2]) for e in edits]
-        moved = []
-        for s, e, a, b in old:
-            d = 0
-            last = 0
-            for x, y, new in shift:
-                if x < last:
-                    continue
-                if y <= s:
-                    d += len(new) - (y - x)
-                    last = y
-            moved.append((s + d, e + d, a, b))
+        begins, moved = [c[2] for c in changes], []
+        for s, e, a, b in self._changes:
+            k = bisect_right(begins, a) - 1
+            if k < 0 or b > changes[k][3]:
+                d = shifts[bisect_right(ends, s)]
+                moved.append((s + d, e + d, a, b))
         out.append(self.text[at:])
         self.text = "".join(out)
         self._changes = sorted(changes + moved)

@@ -1,4 +1,6 @@
 import random
+import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -169,3 +171,105 @@ def test_names_of_letters_after_a_cue():
 @pytest.mark.parametrize("text", ["it is available at arxiv.org today", "look at the dot to the left", "thanks @bob point taken", "error 34 at main.rs", "contact us at example.com", "lunch @ noon", "line 7 at foo.py"])
 def test_no_addresses(text):
     assert detect(text) == []
+
+
+def naive(t):
+    """Every substring of a text tried as an address, IP, social security or phone number; of those that clash the choice by trying all."""
+    word = lambda c: c.isalnum() or c == "_"
+    phones = {p + x for x in ("(ddd) ddd-dddd", "(ddd)ddd-dddd", "ddd-ddd-dddd", "ddd.ddd.dddd") for p in ("", "1 ", "1-", "1.")} | {"ddd ddd dddd", "ddd ddd-dddd"}
+    sure, rest = [], []
+    for a in range(len(t)):
+        for b in range(a + 5, min(len(t), a + 40) + 1):
+            s, before, after = t[a:b], t[a - 1] if a else " ", t[b] if b < len(t) else " "
+            parts = s.split(".")
+            if len(parts) == 4 and all(p.isdigit() and str(int(p)) == p and int(p) < 256 for p in parts) and not word(before) and before != "." and not word(after) and not (after == "." and t[b + 1 : b + 2].isdigit()):
+                sure.append(("ip", a, b))
+            name, at, host = s.partition("@")
+            labels = host.split(".")
+            ok = lambda x, more: x and all(c.isascii() and c.isalnum() or c in more for c in x)
+            if at and ok(name, "._%+-") and name[0] != "." != name[-1] and len(labels) > 1 and all(ok(x, "-") for x in labels) and labels[-1].isalpha() and 2 <= len(labels[-1]) and not after.isalnum() and not (ok(before, "_%+-")):
+                sure.append(("email", a, b))
+            form = "".join("d" if c.isdigit() else c for c in s)
+            one = {form, "1" + form[1:]} if s[0] == "1" else {form}
+            if one & phones and not word(before) and before not in ".-+" and not word(after) and after != "-":
+                rest.append(("phone", a, b, 2))
+            if form in ("ddd-dd-dddd", "ddd dd dddd") and s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[-4:] != "0000" and not word(before) and before != "-" and not word(after) and after != "-":
+                rest.append(("ssn", a, b, 3))
+    took = []
+    for f in sorted(sure, key=lambda f: (f[0] != "email", f[1], -f[2])):
+        if all(f[2] <= x or y <= f[1] for _, x, y in took):
+            took.append(f)
+    free = [f for f in rest if all(f[2] <= x or y <= f[1] for _, x, y in took)]
+
+    def best(k, end):
+        if k == len(free):
+            return (0, 0), []
+        out = best(k + 1, end)
+        if free[k][1] >= end:
+            n = sum(c.isdigit() for c in t[free[k][1] : free[k][2]])
+            (x, y), more = best(k + 1, free[k][2])
+            if (x + n, y + n * free[k][3]) > out[0]:
+                out = (x + n, y + n * free[k][3]), [free[k][:3], *more]
+        return out
+
+    free.sort(key=lambda f: (f[1], -f[2]))
+    return sorted(took + best(0, 0)[1], key=lambda f: f[1])
+
+
+def test_against_all_substrings():
+    rng = random.Random(8)
+    whole = ["8.8.4.4", "170.106.47.218", "123-45-6789", "219 09 9999", "(843) 555-7672", "843-555-7672", "843.555.7672", "843 555-7672", "a.b@ex.com", "me_7@mail.ex-1.org"]
+    parts = ["1", "12", "555", "(843)", "256.1.1.1", "1.2.3.4.5", "000-12-3456", "word", "x,", "no@where", "@", "7672", "a1", "."]
+    some = 0
+    for _ in range(2500):
+        t = "".join(rng.choice(whole if rng.random() < 0.5 else parts) + rng.choice([" ", " ", ", ", " - ", "; "]) for _ in range(rng.randint(1, 6)))
+        if any(13 <= sum(c.isdigit() for c in g) for g in re.findall(r"\d(?:[ \-]?\d)*", t)):
+            continue  # long enough to be a card, which this doesn't know
+        some += 1
+        assert [f[:3] for f in detect(t)] == naive(t), t
+    assert some > 1500
+
+
+@pytest.mark.parametrize("unit, end", [("12, ", "x one two three"), ("one, ", "x"), ("an​na [at] ex [dot] org, ", ""), ("anna at ex dot org, ", ""), ("4111 1111 1111 1111 ", ""), ("a.b@c.de ", ""), ("1.", "2"), ("a.", "@"), ("(", "1")])
+def test_time_grows_with_length(unit, end):
+    def took(n):
+        began = time.process_time()
+        detect(unit * n + end)
+        return time.process_time() - began
+
+    took(100)
+    one, eight = min(took(1_500) for _ in range(2)), took(12_000)
+    assert eight < 30 * max(one, 0.01)  # 64 times if it grew with the square
+
+
+def test_hundred_thousand_identifiers():
+    assert len(detect("anna [at] ex [dot] org, " * 100_000)) == 100_000
+    assert detect("12, " * 100_000 + "x") == []
+
+
+def test_runs_of_spelled_digits():
+    # every run of numerals by trying all runs of tokens
+    rng = random.Random(2)
+    tokens = ["one", "nine", "vier", "cinq", "12", "7", "345678", "1234567", "word", "ones"]
+    for _ in range(3000):
+        t = " ".join(rng.choices(tokens, k=rng.randint(1, 12)))
+        w, want, i = t.split(), [], 0
+        numeral = lambda x: x in tokens[:4] or x.isdigit() and len(x) < 7
+        while i < len(w):
+            j = i
+            while j < len(w) and numeral(w[j]):
+                j += 1
+            run = w[i:j]
+            three = any(all(x in tokens[:4] for x in run[k : k + 3]) for k in range(len(run) - 2))
+            digits = "".join({"one": "1", "nine": "9", "vier": "4", "cinq": "5"}.get(x, x) for x in run)
+            if three and len(digits) >= 7:
+                want.append(digits)
+            i = max(j, i + 1)
+        n = Normalised(t)
+        got = []
+        for a, b in sorted(n.spelled):
+            if got and got[-1][1] == a:
+                got[-1] = (got[-1][0], b)
+            else:
+                got.append((a, b))
+        assert [n.text[a:b] for a, b in got] == want, t
