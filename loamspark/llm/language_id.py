@@ -11,8 +11,10 @@ most TRAIN_ROWS labelled rows of each language, those of the least hash; all row
 
 A text that is null, empty or blank has family and language null and margin 0, and so has every text
 if no row is labelled with a known language. With a single family or language there is nothing to
-tell apart, and it is predicted. Unknown or null languages are not trained on, but predicted like
-the others. A null doc_id is carried as null; repeated rows are predicted alike; other columns,
+tell apart, and it is predicted. Very long texts are read whole, a text at a time; an empty table gives
+an empty result; of names with equal votes and margins the first by name wins. Unknown or null languages are not trained on, but predicted like
+the others. A null doc_id is carried as null; repeated rows are predicted alike, and in
+training each counts, up to the bound; other columns,
 whatever their names, are not looked at.
 """
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .linear_text import bags, bounded_sample, byte_grams, dense, mean_scores
+from .linear_text import bounded_bags, byte_grams, dense, mean_scores
 from .simhash_dedup import lowered
 
 FAMILIES = {
@@ -42,7 +44,7 @@ BITS, EPOCHS, LAMBDA, SCALE, SEED = 12, 40, 1e-4, 30.0, 3
 
 def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     low = lowered(data)
-    return [byte_grams(low, offsets, n, BITS, False) for n in (1, 2, 3)]
+    return [byte_grams(low, offsets, n, BITS) for n in (1, 2, 3)]
 
 
 def train_svm(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -118,13 +120,9 @@ class Model:
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("lang").alias("lang")).filter(F.col("lang").isin([x for of in FAMILIES.values() for x in of]))
-    sample = bounded_sample(known.distinct(), "lang", rows)
-    # at most `rows` ids of each known language, so this side is of a fixed size
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("lang").alias("lang"), F.col("text").cast("string").alias("text"))
-    got = texts.filter("length(trim(text)) > 0").join(F.broadcast(sample), ["doc_id", "lang"]).orderBy("lang", "doc_id", "text").toArrow()
-    index, share = bags(got.column("text"), features, 1 << BITS)
-    return Model(index, share, np.array(got.column("lang").to_pylist(), dtype=object))
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("lang").alias("lang"), F.col("text").cast("string").alias("text")).filter(F.col("lang").isin([x for of in FAMILIES.values() for x in of]))
+    langs, index, share = bounded_bags(known, known.select("doc_id", "lang"), ["doc_id", "lang"], "lang", rows, features, 1 << BITS)
+    return Model(index, share, langs)
 
 
 def _predict(model: Model):
