@@ -128,7 +128,7 @@ def bounded_bags(docs: DataFrame, marked: DataFrame, on: list[str], by: str, mos
     """Label, buckets and shares of at most `most` rows of each value of `by`, in a fixed order.
 
     docs: the columns `on` and text; marked: `on` and `by`. The ids of the least hash are taken, then of
-    the rows with these ids, however often they are repeated, the first by (hash, id, hash of the text).
+    the rows with these ids, however often they are repeated, the first by (hash of the id, hash of the text).
     Features are counted on the executors: the driver gets at most `most` rows of at most `buckets`
     numbers a label, never a text.
     """
@@ -147,8 +147,17 @@ def bounded_bags(docs: DataFrame, marked: DataFrame, on: list[str], by: str, mos
 
     counted = rows.mapInArrow(count, "label string, h long, doc_id long, key long, index array<int>, share array<float>")
     nth = F.row_number().over(Window.partitionBy("label").orderBy("h", "doc_id", "key"))
-    got = counted.withColumn("nth", nth).filter(F.col("nth") <= most).drop("nth").toArrow().combine_chunks()
+    got = counted.withColumn("nth", nth).filter(F.col("nth") <= most).drop("nth", "doc_id").toArrow()
     labels = np.array(got.column("label").to_pylist(), dtype=object)
-    order = np.lexsort([got.column(c).to_numpy() for c in ("key", "doc_id", "h")] + [labels.astype(str)])
-    index, share = (got.column(c).to_pylist() for c in ("index", "share"))
-    return labels[order], [np.array(index[i], np.int64) for i in order], [np.array(share[i], np.float32) for i in order]
+    order = np.lexsort([got.column(c).to_numpy() for c in ("key", "h")] + [labels.astype(str)])
+    index, share = (_views(got.column(c)) for c in ("index", "share"))
+    return labels[order], [index[i] for i in order], [share[i] for i in order]
+
+
+def _views(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of a column as arrays that share its memory."""
+    out = []
+    for chunk in column.chunks:
+        ends, values = np.asarray(chunk.offsets), chunk.values.to_numpy()
+        out += [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
+    return out
