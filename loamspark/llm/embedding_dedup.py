@@ -6,15 +6,17 @@ concatenated hashes. Each is compared with the NEIGHBOURS that follow it; pairs
 least `least` are verified. Groups are the connected components of the pairs of all passes together.
 
 All passes are one range-partitioned sort. Windows go over the ends of partitions: each partition
-also hands on its first and last NEIGHBOURS rows, with its number of rows, and those (a few rows a
-partition, not a share of the vectors) are compared in order of place. Recall is approximate: a pass
+also hands on its first and last NEIGHBOURS rows, with its number of rows. Those get their place in the
+whole order (from one number a partition) and are compared in parallel, each block of NEIGHBOURS places
+with itself and the block before. Recall is approximate: a pass
 finds a pair that shares about log2(vectors / NEIGHBOURS) first bits, so the number of passes grows
 with that of distinct vectors (`passes_for`) to find RECALL of the pairs at the threshold itself; a
 group is found whole if its pairs connect it. Tests hold it against brute force and at 400,000 vectors.
 
 Null, empty and zero vectors and those with a null or non-finite element are in no group. Vectors
 are compared only with those of the same length. A null vec_id is a row like any other and goes
-after the others of its group; repeated rows are copies; an empty table gives an empty result. Other
+after the others of its group; repeated rows are copies; equal keys are ordered by the hash of the
+vector; a long vector is a row like any other; an empty table gives an empty result. Other
 columns, whatever their names, are not looked at.
 """
 
@@ -73,7 +75,7 @@ def _keyed(passes: int, seed: int):
                 fine = np.isfinite(norm) & (norm > 0)
                 rows = rows[fine]
                 v = (v[fine] / norm[fine][:, None]).astype(np.float32)
-                packed = pa.array([x.tobytes() for x in v], pa.binary())
+                packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * int(dim)), len(v), [None, pa.py_buffer(np.ascontiguousarray(v))]).cast(pa.binary())
                 node = batch.column("node").take(pa.array(rows))
                 for nth in range(passes if len(rows) else 0):
                     part = pa.array(np.full(len(rows), int(dim) * 1024 + nth, np.int64))
@@ -142,23 +144,31 @@ def _windows(width: int, least: float):
 
 
 def _over_ends(width: int, least: float):
+    """Pairs over the ends of partitions: of each block the rows that are its own with all that are there."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, last, rows = 0, None, []
-        tail: list[tuple] = []
+        held: list[pa.RecordBatch] = []
+
+        def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            block, place, own = (table.column(c).to_numpy() for c in ("block", "place", "own"))
+            part, node, pid = (table.column(c).to_numpy() for c in ("part", "node", "pid"))
+            vectors = table.column("vector").to_pylist()
+            edges = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block))
+            for a, b in zip(edges[:-1], edges[1:]):
+                # rows are in order of place, so those of the block before come first
+                u, v = _pairs(part[a:b], node[a:b], vectors[a:b], place[a:b], width, least, int((own[a:b] == 0).sum()), pid[a:b])
+                yield pa.RecordBatch.from_pydict({"u": u, "v": v})
+
         for batch in batches:
-            pid, at, n = (batch.column(c).to_numpy() for c in ("pid", "at", "n"))
-            part, node, vectors = batch.column("part").to_numpy(), batch.column("node").to_numpy(), batch.column("vector").to_pylist()
-            rows = list(tail)
-            for i in range(len(pid)):
-                if last is not None and pid[i] != last[0]:
-                    base += last[1]
-                last = (pid[i], n[i])
-                rows.append((base + at[i], part[i], node[i], vectors[i], pid[i]))
-            if rows:
-                place, p, x, v, of = zip(*rows)
-                u, w = _pairs(np.array(p, np.int64), np.array(x, np.int64), list(v), np.array(place, np.int64), width, least, len(tail), np.array(of))
-                yield pa.RecordBatch.from_pydict({"u": u, "v": w})
-            tail = rows[-width:]
+            held.append(batch)
+            table = pa.Table.from_batches(held).combine_chunks()
+            block = table.column("block").to_numpy()
+            whole = int(np.searchsorted(block, block[-1])) if len(block) else 0
+            if whole:
+                yield from pairs(table.slice(0, whole))
+                held = table.slice(whole).combine_chunks().to_batches()
+        if held and sum(map(len, held)):
+            yield from pairs(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
@@ -176,8 +186,14 @@ def near_pairs(nodes: DataFrame, least: float = LEAST, passes: int | None = None
     keyed = whole.mapInArrow(_keyed(passes, seed), "part long, key long, node long, vector binary")
     ordered = keyed.repartitionByRange("part", "key", "node").sortWithinPartitions("part", "key", "node")
     found = checkpointed(ordered.mapInArrow(_windows(width, least), _EDGE))
-    ends = found.filter("kind = 1").coalesce(1).sortWithinPartitions("pid", "at").mapInArrow(_over_ends(width, least), "u long, v long")
-    return found.filter("kind = 0").select("u", "v").union(ends)
+    ends = found.filter("kind = 1")
+    base = F.sum("n").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1))  # one row a partition
+    bases = ends.groupBy("pid").agg(F.max("n").alias("n")).select("pid", F.coalesce(base, F.lit(0)).alias("base"))
+    placed = ends.join(bases, "pid").withColumn("place", F.col("base") + F.col("at"))
+    block = F.expr(f"place div {width}")
+    both = placed.select("pid", "part", "node", "vector", "place", F.explode(F.array(F.struct(block.alias("block"), F.lit(1).alias("own")), F.struct((block + 1).alias("block"), F.lit(0).alias("own")))).alias("b"))
+    blocks = both.select("pid", "part", "node", "vector", "place", "b.*").repartition("block").sortWithinPartitions("block", "place")
+    return found.filter("kind = 0").select("u", "v").union(blocks.mapInArrow(_over_ends(width, least), "u long, v long"))
 
 
 def embedding_groups(table: DataFrame, least: float = LEAST) -> DataFrame:

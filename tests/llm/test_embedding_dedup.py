@@ -1,4 +1,7 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 
 from loamspark.llm import embedding_dedup as module
 from loamspark.llm.embedding_dedup import LEAST, _nodes, embedding_groups, near_pairs
@@ -77,6 +80,50 @@ def test_recall_does_not_fall_with_the_table():
     assert hit.mean() >= 0.93
 
 
+@pytest.mark.parametrize("partitions", [1, 7, 40, 150])
+def test_windows_over_many_ends(spark, partitions):
+    # every pair at most `width` places apart in the whole order, and no other, even with fewer rows than that in a partition
+    v, width = vectors(60, 8, 4), 9
+    u = (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(x) for x in r], 0, "", "") for i, r in enumerate(v)], SCHEMA)
+    nodes = _nodes(df)
+    node = {r.vec_id: r.node for r in nodes.collect()}
+    order = sorted(range(len(v)), key=lambda i: (int(module.sort_keys(u, 0, module.SEED)[i]), node[i]))
+    want = {frozenset((node[a], node[b])) for k, a in enumerate(order) for b in order[k + 1 : k + 1 + width] if float(u[a] @ u[b]) >= 0.8}
+    was = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        got = [frozenset(p) for p in near_pairs(nodes, 0.8, 1, width).collect()]
+    finally:
+        for c, x in was.items():
+            spark.conf.set(c, x)
+    assert set(got) == want and len(got) == len(want) > 50
+
+
+def test_recall_of_the_query_over_tens_of_thousands(spark, tmp_path):
+    # near copies planted among 30,000 vectors, found by the registered query's own steps; brute force by blocks
+    n, pairs = 30_000, 1_500
+    v = planted(n, pairs, 64, 9)
+    rng = np.random.default_rng(10)
+    v[2 * pairs : 2 * pairs + 300] = v[:300]  # exact copies
+    v[2 * pairs + 300 : 2 * pairs + 600] = v[300:600] * rng.uniform(0.5, 2, (300, 1))  # of another length
+    order = rng.permutation(n)
+    table = pa.table({"vec_id": pa.array(order), "embedding": pa.array(list(v)), "label": pa.array(np.zeros(n, np.int32))})
+    pq.write_table(table, tmp_path / "embeddings.parquet")
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    near = set()
+    for a in range(0, n, 2_000):
+        i, j = np.nonzero(u[a : a + 2_000] @ u.T >= LEAST)
+        near |= {(int(order[x + a]), int(order[y])) for x, y in zip(i, j) if x + a < y}
+    rows = module.op8_embedding_dedup(spark, str(tmp_path)).collect()
+    group = {r.vec_id: r.group_id for r in rows}
+    assert len(near) >= pairs + 600
+    assert sum(group.get(x, -1) == group.get(y, -2) for x, y in near) >= 0.9 * len(near)
+    assert set(group) <= {x for p in near for x in p}  # and nothing else
+    assert sum(r.keep for r in rows) == len(set(group.values()))
+
+
 def test_copies_take_no_places(spark):
     # a window as wide as the number of distinct vectors still holds all of them
     v = vectors(30, 8, 2)
