@@ -10,9 +10,10 @@ cover. Words are separated by white space and compared byte for byte.
    bucket needs no refinement) and go no further; about one word in twenty starts a gram.
 2. Texts with a bucket of two or more are joined to their buckets by a hash of the text, and the
    slice of words that such a bucket's windows cover goes to the bucket's partition.
-3. There `refine` sorts the suffixes of whole buckets: initial q-gram buckets, then within each
-   bucket by the pointers of the suffixes `depth` words on, reusing updated pointers, until the
-   pointers tell `min_words` words apart. Suffixes that still share a bucket are the repeats. Equal
+3. There `refine` sorts the suffixes of whole buckets: initial q-gram buckets, then bucket after
+   bucket by the pointers of later offsets, recursively, each reading the pointers that those before it
+   have updated, until the pointers tell `min_words` words apart. Suffixes that still share a bucket are
+   the repeats. Equal
    slices are held and sorted once, so a passage with very many copies doesn't fill a task.
 4. Runs of repeated windows are merged to spans for each text.
 
@@ -20,7 +21,7 @@ Nothing is broadcast or gathered by this code; the result is exact but for 64-bi
 
 Null and empty texts, and texts under `min_words` words, have no span. A null doc_id is carried as
 null. Repeated rows repeat each other: every copy has its spans, and rows equal in doc_id and text
-share them. Of the copies of a window the first by (doc_id, text hash, position), nulls first, is
+share them. Very long texts are read whole, a text at a time; an empty table gives an empty result. Of the copies of a window the first by (doc_id, text hash, position), nulls first, is
 the one to keep: to be cut are the words of spans with keep false that no span with keep true covers.
 Other columns, whatever their names, are not looked at.
 """
@@ -41,50 +42,112 @@ MIN_WORDS = 50
 ANCHOR = 15
 #: Words of slices that are sorted together, at least; whole buckets only.
 SORT_WORDS = 400_000
+#: Suffixes that are refined together, at least; whole buckets only.
+BLOCK = 1 << 16
 NOBODY = -(2**63)
 
 
-def refine(keys: np.ndarray, q: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order and bucket pointers of a sequence, to `depth` elements.
+def _ranked(keys: np.ndarray, q: int) -> tuple[np.ndarray, int]:
+    """The rank of each suffix's first elements among all such, in lexicographic order, and their number, at most q.
 
-    keys: an int or uint64 for each element. Suffixes are compared by the order of their q-grams'
-    keys (for q = 1 the plain lexicographic order); one that ends sooner precedes. Returns the
-    suffix array and each suffix's pointer: the last place of its bucket. Suffixes share a pointer
-    if their first `depth` elements are equal and both have that many.
+    What runs over the end counts as less than any element.
+    """
+    rank, have, n = np.unique(keys, return_inverse=True)[1].astype(np.int64) + 1, 1, len(keys)
+    while have < q:
+        bits = int(rank.max()).bit_length()
+        step = have  # a rank tells `have` elements; as many ranks as fit a word are put side by side
+        times = min(63 // bits, -(-q // have))
+        if times < 2 or have * times > q:
+            times, step = 2, min(have, q - have)  # the last two may overlap
+        code = np.zeros(n, np.int64)
+        for k in range(times):
+            later = np.zeros(n, np.int64)
+            later[: max(0, n - k * step)] = rank[k * step :]
+            code = (code << bits) | later
+        rank = np.unique(code, return_inverse=True)[1].astype(np.int64) + 1
+        have += (times - 1) * step
+    return rank, have
+
+
+def refine(keys: np.ndarray, q: int, depth: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix order and bucket pointers of a sequence, to `depth` elements, by bucket-pointer refinement.
+
+    keys: an int or uint64 for each element; suffixes are compared lexicographically, and one that ends
+    sooner precedes. Buckets of q-grams are refined in turn, about `block` suffixes of whole buckets at a
+    time: a bucket whose suffixes are known to share `known` elements is sorted by the pointers of the
+    suffixes `known` on, its parts get pointers of their own at once, and parts that still aren't told
+    apart are refined in the same way before the next buckets are. So what is sorted later reads pointers
+    that have been refined already, and comes to `depth` in fewer steps: a part's suffixes share the
+    `known` elements of the bucket that they were sorted by as well.
+
+    Returns the suffix array and each suffix's pointer: the last place of its bucket. Suffixes share a
+    pointer if their first `depth` elements are equal and both have that many.
     """
     n = len(keys)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    first = np.unique(keys, return_inverse=True)[1].astype(np.int64) if q == 1 else None
-    if q > 1:
-        inner = grams(keys.astype(U64), q)
-        first = np.concatenate([np.unique(inner, return_inverse=True)[1] + q, np.arange(min(q - 1, n))[::-1]]) if n >= q else np.arange(n)[::-1]
-    order = np.argsort(first, kind="stable")
-    ranked = first[order]
+    rank, q = _ranked(keys, min(q, depth))
+    order = np.argsort(rank, kind="stable")
+    ranked = rank[order]
     last = np.flatnonzero(np.append(ranked[1:] != ranked[:-1], True))
     sizes = np.diff(np.append(-1, last))
     pointer = np.empty(n, np.int64)
     pointer[order] = np.repeat(last, sizes)
-    done = q
-    while done < depth:
-        step = min(done, depth - done)  # pointers tell `done` elements apart: those of the suffix `step` on reach done + step
-        size = np.diff(np.append(-1, np.flatnonzero(np.append(pointer[order][1:] != pointer[order][:-1], True))))
-        open_ = np.repeat(size > 1, size)
-        places = np.flatnonzero(open_)
-        if not len(places):
-            break
-        suffixes = order[places]
-        later = suffixes + step
-        beyond = np.where(later < n, pointer[np.minimum(later, n - 1)], -(later - n) - 1)
-        key = (pointer[suffixes].astype(U64) << U64(32)) | (beyond + (1 << 31)).astype(U64)
-        by = np.argsort(key)
-        order[places] = suffixes[by]
-        key = key[by]
-        # the last place of each new bucket; an old bucket's places are consecutive
-        ends = np.flatnonzero(np.append(key[1:] != key[:-1], True))
-        pointer[order[places]] = np.repeat(places[ends], np.diff(np.append(-1, ends)))
-        done += step
-    return order, pointer
+    known = np.full(n, q, np.int64)  # by a bucket's last place: so many first elements its suffixes share
+
+    def sort(places: np.ndarray) -> None:
+        """Refine whole buckets, given by the places of their suffixes, to the end."""
+        while len(places):
+            suffixes = order[places]
+            own = pointer[suffixes]
+            later = suffixes + known[own]
+            inside = later < n
+            beyond = np.where(inside, pointer[np.minimum(later, n - 1)], n - 1 - later)
+            by = np.lexsort((beyond, own))
+            suffixes, own, beyond, inside = suffixes[by], own[by], beyond[by], inside[by]
+            order[places] = suffixes
+            ends = np.flatnonzero(np.append((own[1:] != own[:-1]) | (beyond[1:] != beyond[:-1]), True))
+            size = np.diff(np.append(-1, ends))
+            # those that run over the end are alone in their parts
+            known[places[ends]] = known[own[ends]] + np.where(inside[ends], known[np.maximum(beyond[ends], 0)], depth)
+            pointer[suffixes] = np.repeat(places[ends], size)
+            open_ = np.repeat((size > 1) & (known[places[ends]] < depth), size)
+            places = places[open_]
+
+    wide = np.flatnonzero((sizes > 1) & (q < depth))
+    done = 0
+    while done < len(wide):
+        total = np.cumsum(sizes[wide[done:]])
+        some = wide[done : done + max(1, int(np.searchsorted(total, block, "right")))]
+        sort(np.repeat(last[some] - sizes[some] + 1, sizes[some]) + _within(sizes[some]))
+        done += len(some)
+    return order, _at_depth(order, pointer, rank, q, depth)
+
+
+def _within(sizes: np.ndarray) -> np.ndarray:
+    """0 .. size - 1 for each size."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _at_depth(order: np.ndarray, pointer: np.ndarray, rank: np.ndarray, q: int, depth: int) -> np.ndarray:
+    """Pointers of buckets joined again that pointers refined beyond `depth` told apart: neighbours are compared by their q-grams."""
+    n = len(order)
+    left = np.flatnonzero(pointer[order[1:]] != pointer[order[:-1]])
+    for at in [*range(0, depth - q, q), depth - q]:
+        i, j = order[left] + at, order[left + 1] + at
+        ok = (i < n) & (j < n)
+        ok[ok] = rank[i[ok]] == rank[j[ok]]
+        left = left[ok]
+    whole = order[left] + depth <= n
+    left = left[whole & (order[left + 1] + depth <= n)]
+    if not len(left):
+        return pointer
+    last = np.append(pointer[order[1:]] != pointer[order[:-1]], True)
+    last[left] = False
+    ends = np.flatnonzero(last)
+    joined = np.empty(n, np.int64)
+    joined[order] = np.repeat(ends, np.diff(np.append(-1, ends)))
+    return joined
 
 
 class _Runs:
@@ -184,7 +247,7 @@ def _spans(table: pa.Table, min_words: int) -> pa.RecordBatch:
     keys[place] = h
     marks = w.of_row[1:] + np.arange(len(w.counts))
     keys[marks] = U64(2**63) + np.arange(len(marks), dtype=U64) * U64(0x9E3779B97F4A7C15)
-    _, pointer = refine(keys, min(13, min_words), min_words)
+    _, pointer = refine(keys, min(9, min_words), min_words)
     # the same window can be in two slices only if it has the same anchor, so copies share a bucket here
     at = np.arange(len(h)) - w.of_row[row]
     window = np.flatnonzero(at <= w.counts[row] - min_words)

@@ -2,8 +2,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from loamspark.llm import suffix_dedup as module
 from loamspark.llm.suffix_dedup import refine, repeated_spans
 
 SCHEMA = "doc_id long, text string, key string, at string"
@@ -35,35 +37,68 @@ def covered(df, rows):
 def test_refine_gives_the_suffix_array():
     rng = np.random.default_rng(1)
     for n in (1, 2, 7, 60, 300):
-        keys = rng.integers(0, 3, n)
-        order, _ = refine(keys, 1, n + 1)
-        assert order.tolist() == sorted(range(n), key=lambda i: keys[i:].tolist())
+        for block in (1, 20, 1 << 16):
+            keys = rng.integers(0, 3, n)
+            order, _ = refine(keys, 1, n + 1, block)
+            assert order.tolist() == sorted(range(n), key=lambda i: keys[i:].tolist())
 
 
-@pytest.mark.parametrize("q", [1, 3, 5])
-def test_refine_to_a_depth_groups_equal_beginnings(q):
+def test_refine_against_sorting_slices():
     rng = np.random.default_rng(2)
-    keys = rng.integers(0, 2, 400).astype(np.uint64)
-    _, pointer = refine(keys, q, 11)
-    groups = {}
-    for i in range(390):
-        groups.setdefault(tuple(keys[i : i + 11]), set()).add(int(pointer[i]))
-    assert all(len(g) == 1 for g in groups.values())
-    assert len({next(iter(g)) for g in groups.values()}) == len(groups)
-
-
-def test_against_brute_force(spark):
-    rng = random.Random(3)
+    for trial in range(400):
+        n, q, depth, block = int(rng.integers(1, 120)), int(rng.integers(1, 12)), int(rng.integers(1, 30)), int(rng.integers(1, 60))
+        keys = rng.integers(0, int(rng.integers(1, 5)), n).astype(np.uint64)
+        if trial % 3 == 0:
+            keys[n // 3 : n // 3 * 2] = keys[: n // 3]
+        order, pointer = refine(keys, q, depth, block)
+        k = keys.tolist()
+        assert sorted(order.tolist()) == list(range(n))
+        assert all(k[x : x + depth] <= k[y : y + depth] for x, y in zip(order[:-1], order[1:]))
+        groups = {}
+        for i in range(n):
+            groups.setdefault(tuple(k[i : i + depth]) if i + depth <= n else i, set()).add(int(pointer[i]))
+        assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
+        place = np.empty(n, int)
+        place[order] = np.arange(n)
+        assert all(pointer[i] == place[pointer == pointer[i]].max() for i in range(n))
+
+
+def passages(seed, texts=60):
+    rng = random.Random(seed)
     word = lambda: "".join(rng.choices("abé", k=rng.randint(1, 3)))
-    passages = [[word() for _ in range(rng.randint(12, 60))] for _ in range(6)]
+    shared = [[word() for _ in range(rng.randint(12, 60))] for _ in range(6)]
     rows = []
-    for d in range(60):
+    for d in range(texts):
         w = [word() for _ in range(rng.randint(0, 80))]
-        for p in rng.sample(passages, rng.randint(0, 3)):
+        for p in rng.sample(shared, rng.randint(0, 3)):
             at = rng.randint(0, len(w))
             w[at:at] = p
         rows.append((d, rng.choice([" ", "\n", "\t "]).join(w)))
-    rows.append((61, " ".join(["x"] * 40)))  # repeats itself
+    return rows + [(texts + 1, " ".join(["x"] * 40))]  # repeats itself
+
+
+@pytest.mark.parametrize("sort_words, batch", [(1, 1), (1, 7), (40, 3), (300, 5), (2_000, 1000)])
+def test_buckets_over_batches(monkeypatch, sort_words, batch):
+    # as executors do it, with so little sorted at a time that buckets go over batches and parts
+    monkeypatch.setattr(module, "SORT_WORDS", sort_words)
+    rows, n = passages(sort_words + batch), 12
+    rows += [(100 + k, rows[3][1]) for k in range(25)]  # slices with many copies
+    table = pa.table({"doc_id": [d for d, _ in rows], "key": [hash(t) for _, t in rows], "text": [t for _, t in rows]})
+    found = pa.Table.from_batches(module._anchors(n)(table.to_batches())).to_pandas()
+    found = found[found.groupby("anchor")["key"].transform("size") > 1]
+    at = {k: sorted(set(v)) for k, v in found.groupby("key")["at"]}
+    table = table.filter(pa.array([k in at for k in table.column("key").to_pylist()]))
+    table = table.append_column("at", pa.array([at[k] for k in table.column("key").to_pylist()], pa.list_(pa.int32())))
+    slices = pa.Table.from_batches(module._slices(n)(table.to_batches())).sort_by("anchor").combine_chunks()
+    got = {}
+    for part in module._sorted_buckets(n)(slices.to_batches(max_chunksize=batch)):
+        for r in part.to_pylist():
+            got.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
+    assert got == {d: w for (d, _), w in brute(rows, n).items()}
+
+
+def test_against_brute_force(spark):
+    rows = passages(3)
     got = covered(repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), 12), rows)
     assert got == brute(rows, 12)
 
