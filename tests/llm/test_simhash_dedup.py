@@ -1,11 +1,14 @@
 import random
+import time
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
+from loamspark.llm import simhash_dedup as module
 from loamspark.llm.components import connected_components
 from loamspark.llm.kernels import text_buffers
-from loamspark.llm.simhash_dedup import MOST, copy_groups, fingerprints, near_pairs, without_copies
+from loamspark.llm.simhash_dedup import MOST, _forest, _linked, copy_groups, fingerprints, near_pairs, without_copies
 
 SCHEMA = "doc_id long, text string, key string, root string, __key string"
 
@@ -77,11 +80,72 @@ def test_edge_cases(spark):
     assert copy_groups(empty).count() == 0 and without_copies(empty).count() == 0
 
 
-def test_recall_at_far_pairs(spark):
-    rng, pairs = np.random.default_rng(5), 3_000
-    one = rng.integers(0, 2, (pairs, 256), dtype=np.uint8)
-    flips = np.argsort(np.argsort(rng.random((pairs, 256)), 1), 1) < rng.integers(35, 41, (pairs, 1))
+def test_recall_at_each_distance(spark):
+    rng, pairs = np.random.default_rng(5), 2_000
+    distances = [1, 15, 24, 30, 35, 37, 38, 39, 40]
+    one = rng.integers(0, 2, (pairs * len(distances), 256), dtype=np.uint8)
+    flips = np.argsort(np.argsort(rng.random(one.shape), 1), 1) < np.repeat(distances, pairs)[:, None]
     sigs = np.packbits(np.concatenate([one, one ^ flips]), axis=1)
-    nodes = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sigs)], "node long, sig binary")
+    nodes = spark.createDataFrame(pd.DataFrame({"node": np.arange(len(sigs)), "sig": [s.tobytes() for s in sigs]}), "node long, sig binary")
     found = {tuple(sorted(p)) for p in near_pairs(nodes).collect()}
-    assert sum((i, pairs + i) in found for i in range(pairs)) >= 0.9 * pairs
+    for k, d in enumerate(distances):
+        recall = sum((i, len(one) + i) in found for i in range(k * pairs, (k + 1) * pairs)) / pairs
+        assert recall == 1 if d <= 15 else recall >= 0.9, (d, recall)
+
+
+def connected(pairs):
+    label = {}
+    for i, j in pairs:
+        a, b = label.setdefault(i, {i}), label.setdefault(j, {j})
+        if a is not b:
+            a |= b
+            for x in b:
+                label[x] = a
+    return {frozenset(x) for x in label.values()}
+
+
+def test_forest_connects_what_pairs_connect():
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 25, 200):
+        bits = rng.integers(0, 2, (n, 256), dtype=np.uint8)
+        for i in range(1, n):
+            if rng.random() < 0.6:  # chains of copies, each a few bits from one before it
+                bits[i] = bits[rng.integers(0, i)] ^ (rng.random(256) < 0.1)
+        sig = np.packbits(bits, axis=1).view(np.uint64)
+        members = rng.permutation(n)
+        edges = _forest(members, sig, MOST).tolist()
+        near = [(i, j) for i in range(n) for j in range(i) if (bits[i] != bits[j]).sum() <= MOST]
+        assert connected(edges) == connected(near)
+        assert len(edges) == sum(len(g) - 1 for g in connected(near))
+        assert all((bits[i] != bits[j]).sum() <= MOST for i, j in edges)
+
+
+def test_big_groups_that_share_a_variant():
+    # rows of one route with one variant, more than are compared pair by pair
+    rng = np.random.default_rng(8)
+    n = 4_000
+    bits = rng.integers(0, 2, (n, 256), dtype=np.uint8)
+    bits[:, :32] = bits[0, :32]
+    bits[n // 2 :] = bits[: n // 2]
+    bits[n // 2 :, 40:60] ^= 1
+    sig = np.packbits(bits, axis=1).view(np.uint64)
+    began = time.process_time()
+    u, v = _linked(np.zeros(n, np.int32), np.arange(n), sig, MOST)
+    assert {tuple(sorted(p)) for p in zip(u.tolist(), v.tolist())} == {(i, n // 2 + i) for i in range(n // 2)}
+    assert time.process_time() - began < 30
+
+
+def test_rows_over_batches(monkeypatch):
+    # routes are joined whole, however few rows are held at a time
+    rng = np.random.default_rng(9)
+    bits = rng.integers(0, 2, (15, 256), dtype=np.uint8)
+    bits = np.concatenate([bits, bits])
+    bits[15:, :8] ^= 1
+    sig = [b.tobytes() for b in np.packbits(bits, axis=1)]
+    batch = pa.RecordBatch.from_pydict({"node": pa.array(range(30), pa.int64()), "sig": pa.array(sig, pa.binary())})
+    routes = pa.Table.from_batches(module._routes([batch])).sort_by("route").combine_chunks()
+    for held, rows in ((1, 1), (50, 7), (10**6, 1000)):
+        monkeypatch.setattr(module, "JOIN_ROWS", held)
+        found = pa.Table.from_batches(module._join(MOST)(routes.to_batches(max_chunksize=rows)))
+        got = {tuple(sorted(p)) for p in zip(found.column("u").to_pylist(), found.column("v").to_pylist())}
+        assert got == {(i, 15 + i) for i in range(15)}
