@@ -18,7 +18,8 @@ together. A stratum with too few labels for a bound keeps everything.
 
 Null, empty and blank texts are rejected (`empty`). A null lang is the stratum ''. A row whose
 doc_id is null has no label and is judged as any other; repeated rows are judged alike, and each
-label of a doc_id counts. Labels other than 0 and 1 count for nothing. Empty tables give empty
+label of a doc_id counts. Very long texts are measured whole. Of cutoffs of equal worth the most lenient
+is taken; a measure equal to a cutoff isn't above it. Labels other than 0 and 1 count for nothing. Empty tables give empty
 results. Other columns, whatever their names, are carried along by `kept` and not looked at.
 """
 
@@ -30,6 +31,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .components import checkpointed
+
 ALPHA, DELTA, FALSE_COST = 0.05, 0.1, 10
 RULES = ("shout", "symbols", "pipes", "capitals", "repeats", "brevity")
 #: Candidate cutoffs from lenient to strict.
@@ -95,10 +98,14 @@ def select(good: int, false: list[int], caught: list[int], alpha: float, delta:
 
 
 def thresholds(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict[str, float]]:
-    """Cutoffs by stratum and rule, from counts over all labelled rows; at most 180 counts a stratum come to the driver."""
-    measured = measures(docs.select("doc_id", stratum(F.col("lang")).alias("stratum"), "text")).drop("text")
+    """Cutoffs by stratum and rule, from counts over all labelled rows."""
+    return _select_all(measures(docs.select("doc_id", "lang", "text")), labels, "", alpha, delta)
+
+
+def _select_all(measured: DataFrame, labels: DataFrame, prefix: str, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict[str, float]]:
+    """Cutoffs from measured rows; at most 180 counts a stratum come to the driver."""
     marked = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("quality in (0, 1)")
-    joined = measured.join(marked, "doc_id")
+    joined = measured.select("doc_id", stratum(F.col("lang")).alias("stratum"), *[F.col(prefix + r).alias(r) for r in RULES]).join(marked, "doc_id")
     exceeded = lambda r: sum(((F.col(r) > c).cast("int") for c in CUTOFFS), F.lit(0))
     each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), exceeded(r).alias("over")) for r in RULES])).alias("m")
     rows = joined.select("stratum", "quality", each).groupBy("stratum", "quality", "m.rule", "m.over").agg(F.count(F.lit(1)).alias("n")).collect()
@@ -117,33 +124,31 @@ def thresholds(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
 
 
 def failed(cutoffs: dict[str, dict[str, float]], stratum_: Column, prefix: str = "") -> Column:
-    """The names of the rules that reject a measured row, in the order of RULES, parted by commas."""
+    """The names of the rules that reject a measured row, in the order of RULES, parted by commas.
+
+    A rule's cutoffs are looked up in one map of strata, so the plan doesn't grow with them.
+    """
     names = [F.when(F.col(prefix + "n_words") == 0, F.lit("empty"))]
     for rule in RULES:
-        strata = [(s, c[rule]) for s, c in sorted(cutoffs.items()) if rule in c]
-        if strata:
-            cutoff = F.lit(None).cast("double")
-            for s, c in strata:
-                cutoff = F.when(stratum_ == s, F.lit(c)).otherwise(cutoff)
+        of = {s: c[rule] for s, c in sorted(cutoffs.items()) if rule in c}
+        if of:
+            cutoff = F.try_element_at(F.map_from_arrays(F.lit(list(of)), F.lit(list(of.values()))), stratum_)
             names.append(F.when((F.col(prefix + "n_words") > 0) & (F.col(prefix + rule) > cutoff), F.lit(rule)))
     return F.concat_ws(",", *names)
 
 
 def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang, n_words, failed and keep for every row of docs."""
-    cutoffs = thresholds(docs, labels)
-    measured = measures(docs.select(F.col("doc_id"), F.col("lang"), F.col("text")))
-    out = measured.withColumn("failed", failed(cutoffs, stratum(F.col("lang"))))
+    """doc_id, lang, n_words, failed and keep for every row of docs. Texts are read once: the measures are written and read twice."""
+    measured = checkpointed(measures(docs.select("doc_id", "lang", "text")).drop("text"))
+    out = measured.withColumn("failed", failed(_select_all(measured, labels, ""), stratum(F.col("lang"))))
     return out.select("doc_id", "lang", "n_words", "failed", (F.col("failed") == "").alias("keep"))
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that no rule rejects, with docs' columns."""
+    """The rows of docs that no rule rejects, with docs' columns. Measured once: rows are written with their measures."""
     p = "__" + "_" * max([0, *map(len, docs.columns)])  # longer than any name, so none clashes
-    cutoffs = thresholds(docs, labels)
-    # the number keeps the filter from being pushed into the measures, which would then be taken for every mention
-    measured = measures(docs, prefix=p).withColumn(p + "row", F.monotonically_increasing_id())
-    return measured.filter((failed(cutoffs, stratum(F.col("lang")), p) == "") & (F.col(p + "row") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    measured = checkpointed(measures(docs, prefix=p))
+    return measured.filter(failed(_select_all(measured, labels, p), stratum(F.col("lang")), p) == "").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
