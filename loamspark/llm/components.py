@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import shared
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, written to the folder that the cluster names in spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only where the session names none, and is on one machine (tests), a temporary folder is set.
     """
     spark: SparkSession = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(shared.base(spark))
     return df.checkpoint(eager=True)
 
 
