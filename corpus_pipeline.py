@@ -1,19 +1,19 @@
 """A training corpus from documents: quality rules, near copies, identifiers, mixing, packing.
 
 Each stage reads what the one before it wrote and works on all of it; all but the last return the
-columns of documents. Rows with null or empty texts fall to the quality rules; what else the stages do
-with nulls, ties, repeated rows, empty tables and other columns is said in the operators' modules.
+columns of documents. Rows with null or empty texts fall to the quality rules; an empty table of documents
+or labels gives an empty result or keeps what has words. What else the stages do with nulls, very long
+texts, ties, repeated rows and other columns is said in the operators' modules.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from loamspark.llm import mixing, packing, pii, quality_rules, simhash_dedup
+from loamspark.sources import shared
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -56,11 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. Each stage's table is written to the folder that executors share."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """The last stage's rows. Each stage's table is written to the folder that executors share, and deleted once the next one is."""
+    folder = shared.folder(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    before = None
+    for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            shared.delete(spark, f"{folder}/{before}")
+        before = name
+    return docs
