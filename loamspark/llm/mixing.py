@@ -14,7 +14,7 @@ source is sorted whole: q is counted in BINS ranges, and only the range in which
 ranked. Rows don't move but for that: each source's few numbers are broadcast, if there are no more
 than BROADCAST_SOURCES of them.
 
-A null source is a source of its own, of the default weight. A null or negative n_chars counts as 0.
+Texts aren't looked at, so very long ones are rows like others. A null source is a source of its own, of the default weight. A null or negative n_chars counts as 0.
 A null doc_id gets the random number of an empty text. Repeated rows count each, share their random
 number, and are ranked in any order among themselves, being equal. An empty table gives an empty
 result. Other columns, whatever their names, are carried along by `mixed` and not looked at.

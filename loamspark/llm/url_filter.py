@@ -4,7 +4,8 @@ Terms are sought in the lower-case URL, and count where neither neighbour is an
 digit. A URL is rejected on one strict term, or on SOFT_LIMIT distinct soft ones. The automaton finds
 all terms in one pass over the URL, however many they are; it is built once a task.
 
-A null or empty URL has no term and isn't rejected. Repeated rows are judged alike; an empty table
+A null or empty URL has no term and isn't rejected; a very long one is read whole. Terms that overlap or
+are listed as both count as each; two of the same term are one. Repeated rows are judged alike; an empty table
 gives an empty result; other columns, whatever their names, are not looked at.
 """
 
