@@ -10,7 +10,8 @@ Candidates: the fingerprint is cut into 32-bit segments, few enough that of two
 deleted, with that bit's position, is a variant; two segments that differ by one bit or none share a
 variant. A difference of one bit lies in one half of a segment, so a segment's variants are sent by
 its other half, which is equal (one row for each half instead of one for each bit), and joined on
-equality there. Every pair that shares a variant is verified on the whole fingerprints. Equal
+equality there. Fingerprints travel in rows of many, by the
+first bits of that half. Every pair that shares a variant is verified on the whole fingerprints. Equal
 fingerprints are one node, so exact copies make no pairs.
 
 What is guaranteed: up to 2 * SEGMENTS - 1 = 15 differences this finds every pair. Pairs with more, but
@@ -40,8 +41,8 @@ from .kernels import U64, Words, chunks, mix, text_buffers
 
 BITS, SEGMENTS, CUTS = 256, 8, 13
 MOST = 40
-#: Rows that are joined together, at least; whole routes only.
-JOIN_ROWS = 150_000
+#: Rows that are joined together, at least, and rows that a key has, about; whole keys only.
+JOIN_ROWS, KEY_ROWS = 150_000, 20_000
 _SEEDS = [0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -118,18 +119,37 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(column.buffers()[1], U64, len(column) * BITS // 64, column.offset * BITS // 8).reshape(-1, BITS // 64)
 
 
-def _routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each half of each segment of each cut: cut, segment, half and the half's 16 bits in `route`; sig is permuted."""
+def _orders() -> list[np.ndarray]:
+    """The order of bits that each cut is made in."""
     rng = np.random.default_rng(7)
-    cuts = [np.arange(BITS), *(rng.permutation(BITS) for _ in range(CUTS - 1))]
-    for batch in batches:
-        bits = np.unpackbits(np.ascontiguousarray(_matrix(batch.column("sig"))).view(np.uint8), axis=1)
-        for c, order in enumerate(cuts):
-            packed = np.ascontiguousarray(np.packbits(bits[:, order], axis=1))
-            halves = packed.view(np.uint16).astype(np.int32)
-            sig = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), len(batch), [None, pa.py_buffer(packed)]).cast(pa.binary())
-            for k in range(halves.shape[1]):
-                yield pa.RecordBatch.from_arrays([pa.array(halves[:, k] | ((c * 2 * SEGMENTS + k) << 16)), batch.column("node"), sig], names=["route", "node", "sig"])
+    return [np.arange(BITS), *(rng.permutation(BITS) for _ in range(CUTS - 1))]
+
+
+def _routes(bits: int):
+    """For each half of each segment of each cut the permuted fingerprints, put together by the half's first `bits` bits.
+
+    A row of fingerprints in `sigs` for each cut, half and value of these bits in `key`: what a
+    fingerprint takes on the way is little more than its own 32 bytes a half.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        orders = _orders()
+        for batch in batches:
+            n = len(batch)
+            of = np.unpackbits(np.ascontiguousarray(_matrix(batch.column("sig"))).view(np.uint8), axis=1)
+            for c, order in enumerate(orders):
+                packed = np.ascontiguousarray(np.packbits(of[:, order], axis=1))
+                halves = packed.view(np.uint16).astype(np.int32).T
+                key = (halves >> (16 - bits)) | ((np.arange(len(halves), dtype=np.int32) + c * 2 * SEGMENTS) << 16)[:, None]
+                key, row = key.ravel(), np.tile(np.arange(n), len(halves))
+                by = np.argsort(key, kind="stable")
+                key = key[by]
+                new = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+                ends = np.append(new, len(key)).astype(np.int32) * (BITS // 8)
+                sigs = pa.BinaryArray.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(packed[row[by]]))])
+                yield pa.RecordBatch.from_arrays([pa.array(key[new]), sigs], names=["key", "sigs"])
+
+    return run
 
 
 def _linked(route: np.ndarray, node: np.ndarray, sig: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -197,31 +217,52 @@ def _forest(members: np.ndarray, sig: np.ndarray, most: int) -> np.ndarray:
 
 def _join(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def linked(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            table = table.combine_chunks()
-            u, v = _linked(table.column("route").to_numpy(), table.column("node").to_numpy(), _matrix(table.column("sig").combine_chunks()), most)
-            yield pa.RecordBatch.from_pydict({"u": u, "v": v})
-
-        held: list[pa.RecordBatch] = []
+        back = [np.argsort(order) for order in _orders()]
+
+        def linked(keys: list[np.ndarray], parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            key = np.concatenate(keys)
+            sig = np.concatenate(parts).reshape(-1, BITS // 8)
+            place = key >> 16
+            route = (place << 16) | sig.view(np.uint16)[np.arange(len(sig)), place % (2 * SEGMENTS)]
+            by = np.argsort(route, kind="stable")
+            sig = np.ascontiguousarray(sig[by])
+            u, v = _linked(route[by].astype(np.int32), np.arange(len(sig)), sig.view(U64), most)
+            cut = place[by][u] // (2 * SEGMENTS)
+            for c in np.unique(cut):
+                of = cut == c
+                ends = [np.packbits(np.unpackbits(sig[x[of]], axis=1)[:, back[c]], axis=1) for x in (u, v)]
+                yield pa.RecordBatch.from_arrays([pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary()) for x in ends], names=["u", "v"])
+
+        keys: list[np.ndarray] = []
+        parts: list[np.ndarray] = []
+        held = 0
         for batch in batches:
-            held.append(batch)
-            if sum(map(len, held)) < JOIN_ROWS:
+            if not len(batch):
                 continue
-            table = pa.Table.from_batches(held)
-            route = table.column("route").to_numpy()
-            if whole := int(np.searchsorted(route, route[-1])):
-                yield from linked(table.slice(0, whole))
-                held = table.slice(whole).to_batches()
-        if held and sum(map(len, held)):
-            yield from linked(pa.Table.from_batches(held))
+            column = batch.column("sigs")
+            ends = np.frombuffer(column.buffers()[1], np.int32, len(batch) + 1, column.offset * 4)
+            data = np.frombuffer(column.buffers()[2], np.uint8)
+            for i, key in enumerate(batch.column("key").to_numpy()):
+                if held >= JOIN_ROWS and keys[-1][0] != key:  # keys are held and joined whole
+                    yield from linked(keys, parts)
+                    keys, parts, held = [], [], 0
+                parts.append(data[ends[i] : ends[i + 1]])
+                keys.append(np.full(len(parts[-1]) // (BITS // 8), key, np.int64))
+                held += len(keys[-1])
+        if held:
+            yield from linked(keys, parts)
 
     return run
 
 
 def near_pairs(nodes: DataFrame, most: int = MOST) -> DataFrame:
-    """Pairs u, v of nodes (node, sig) that share a variant and are near; enough to connect the groups."""
-    routes = nodes.select("node", "sig").dropDuplicates(["node"]).mapInArrow(_routes, "route int, node long, sig binary")
-    return routes.repartition("route").sortWithinPartitions("route").mapInArrow(_join(most), "u long, v long")
+    """Pairs u, v of nodes (node, sig; node is the hash of sig) that share a variant and are near; enough to connect the groups."""
+    once = nodes.select("node", "sig").dropDuplicates(["node"])
+    # so many first bits of a half are put together that a key has about KEY_ROWS rows, however large the table
+    bits = min(16, max(4, (nodes.count() // KEY_ROWS).bit_length()))
+    routes = once.mapInArrow(_routes(bits), "key int, sigs binary")
+    pairs = routes.repartition("key").sortWithinPartitions("key").mapInArrow(_join(most), "u binary, v binary")
+    return pairs.select(F.xxhash64("u").alias("u"), F.xxhash64("v").alias("v"))
 
 
 def _grouped(docs: DataFrame, most: int) -> DataFrame:

@@ -4,6 +4,8 @@ import time
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from loamspark.llm import simhash_dedup as module
 from loamspark.llm.components import connected_components
@@ -86,8 +88,9 @@ def test_recall_at_each_distance(spark):
     one = rng.integers(0, 2, (pairs * len(distances), 256), dtype=np.uint8)
     flips = np.argsort(np.argsort(rng.random(one.shape), 1), 1) < np.repeat(distances, pairs)[:, None]
     sigs = np.packbits(np.concatenate([one, one ^ flips]), axis=1)
-    nodes = spark.createDataFrame(pd.DataFrame({"node": np.arange(len(sigs)), "sig": [s.tobytes() for s in sigs]}), "node long, sig binary")
-    found = {tuple(sorted(p)) for p in near_pairs(nodes).collect()}
+    nodes = spark.createDataFrame(pd.DataFrame({"i": np.arange(len(sigs)), "sig": [s.tobytes() for s in sigs]}), "i long, sig binary").withColumn("node", F.xxhash64("sig"))
+    at = {r.node: r.i for r in nodes.select("node", "i").collect()}
+    found = {tuple(sorted((at[p.u], at[p.v]))) for p in near_pairs(nodes).collect()}
     for k, d in enumerate(distances):
         recall = sum((i, len(one) + i) in found for i in range(k * pairs, (k + 1) * pairs)) / pairs
         assert recall == 1 if d <= 15 else recall >= 0.9, (d, recall)
@@ -135,17 +138,18 @@ def test_big_groups_that_share_a_variant():
     assert time.process_time() - began < 30
 
 
-def test_rows_over_batches(monkeypatch):
-    # routes are joined whole, however few rows are held at a time
+@pytest.mark.parametrize("bits", [4, 9, 16])
+def test_rows_over_batches(monkeypatch, bits):
+    # keys are joined whole, however few rows are held at a time and however many first bits make a key
     rng = np.random.default_rng(9)
-    bits = rng.integers(0, 2, (15, 256), dtype=np.uint8)
-    bits = np.concatenate([bits, bits])
-    bits[15:, :8] ^= 1
-    sig = [b.tobytes() for b in np.packbits(bits, axis=1)]
-    batch = pa.RecordBatch.from_pydict({"node": pa.array(range(30), pa.int64()), "sig": pa.array(sig, pa.binary())})
-    routes = pa.Table.from_batches(module._routes([batch])).sort_by("route").combine_chunks()
+    one = rng.integers(0, 2, (15, 256), dtype=np.uint8)
+    both = np.concatenate([one, one])
+    both[15:, :8] ^= 1
+    sig = [b.tobytes() for b in np.packbits(both, axis=1)]
+    batches = [pa.RecordBatch.from_pydict({"sig": pa.array(part, pa.binary())}) for part in (sig[:7], sig[7:], [])]
+    routes = pa.Table.from_batches(module._routes(bits)(batches)).sort_by("key").combine_chunks()
     for held, rows in ((1, 1), (50, 7), (10**6, 1000)):
         monkeypatch.setattr(module, "JOIN_ROWS", held)
         found = pa.Table.from_batches(module._join(MOST)(routes.to_batches(max_chunksize=rows)))
-        got = {tuple(sorted(p)) for p in zip(found.column("u").to_pylist(), found.column("v").to_pylist())}
+        got = {tuple(sorted((sig.index(u), sig.index(v)))) for u, v in zip(found.column("u").to_pylist(), found.column("v").to_pylist())}
         assert got == {(i, 15 + i) for i in range(15)}
