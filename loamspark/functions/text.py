@@ -1,9 +1,13 @@
-"""Column expressions over text. All stay in the JVM; nulls give null unless said otherwise."""
+"""Column expressions over text. All but the decoding of entities stay in the JVM; nulls give null unless said otherwise."""
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
@@ -82,13 +86,24 @@ def chunk_spans(length: Column, window: int, overlap: int, min_chars: int) -> Co
     return F.when((length < min_chars) | (length <= 0), F.slice(one, 1, 0)).when(length <= window, one).otherwise(many)
 
 
+@F.pandas_udf(T.StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
+
+
+#: White space, also what HTML's entities stand for.
+_SPACES = "[\\s\\x1c-\\x1f\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
+
+
 def html_to_text(c: Column | str, limit: int | None = None) -> Column:
-    """Visible text: no scripts, styles or tags, common entities decoded, single spaces."""
+    """Visible text: no scripts, styles or tags, all entities of HTML decoded once, single spaces.
+
+    Only texts that have an ampersand left go to Python, which knows the entities by name.
+    """
     t = F.regexp_replace(_col(c), r"(?is)<script.*?</script>|<style.*?</style>", " ")
     t = F.regexp_replace(t, r"(?s)<[^>]+>", " ")
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        t = F.replace(t, F.lit(name), F.lit(char))
-    t = F.trim(F.regexp_replace(t, r"\s+", " "))
+    t = F.coalesce(_unescaped(F.when(t.contains("&"), t)), t)
+    t = F.trim(F.regexp_replace(t, _SPACES, " "))
     return F.substring(t, 1, limit) if limit else t
 
 

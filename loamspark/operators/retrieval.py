@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import lines
+from ..functions.text import lines, squash
 from ..functions.vectors import dot, reciprocal_rank
 from . import graph
 
 BEAM = 128
+#: A call's answer is for a reader, so it has so many rows at most.
+MOST_ROWS = 1000
 POOL = 50
 K1, B = 1.2, 0.75
 TERM = r"[^\p{L}]+"
@@ -47,10 +50,39 @@ def top(table: DataFrame, n: int, *tie: str) -> DataFrame:
 
 
 def postings(texts: DataFrame, key: str, column: str = "text") -> DataFrame:
-    """key, term, tf and len (of the text, in terms): a row for each term of each text."""
-    terms = texts.select(key, F.explode(F.filter(F.split(F.lower(F.col(column)), TERM), lambda t: t != "")).alias("term"))
-    counts = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    return counts.withColumn("len", F.sum("tf").over(Window.partitionBy(key)))
+    """key, term, tf and len (of the text, in terms): a row for each term of each text; a key has one text."""
+    listed = texts.select(key, F.filter(F.split(F.lower(F.col(column)), TERM), lambda t: t != "").alias("terms"))
+    terms = listed.select(key, F.size("terms").cast("long").alias("len"), F.explode("terms").alias("term"))
+    return terms.groupBy(key, "term", "len").agg(F.count(F.lit(1)).alias("tf")).select(key, "term", "tf", "len")
+
+
+def corpus_stats(source: DataFrame, key: str, column: str = "text") -> DataFrame:
+    """One row: n_texts that have terms, and avg_len."""
+    if "term" in source.columns:
+        lengths = source.select(key, "len").distinct()
+    else:
+        lengths = source.select(F.regexp_count(F.lower(F.col(column)), F.lit(r"\p{L}+")).alias("len")).filter("len > 0")
+    return lengths.agg(F.count(F.lit(1)).alias("n_texts"), F.avg("len").alias("avg_len"))
+
+
+def store_index(texts: DataFrame, key: str, path: str, column: str = "text", slices: int = 16) -> None:
+    """Write postings and corpus_stats below a path.
+
+    Files are sorted by term, so a search reads the row groups of its terms only. A term's postings are
+    spread over `slices` files at most, so that a very common one doesn't fill a task.
+    """
+    posted = postings(texts, key, column)
+    spread = posted.repartition("term", F.pmod(F.xxhash64(key), F.lit(slices)))
+    spread.sortWithinPartitions("term", key).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
+    stored = posted.sparkSession.read.parquet(f"{path}/postings")
+    # a text's length is met once, with the least of its terms
+    lengths = stored.groupBy(key).agg(F.first("len").alias("len"))
+    lengths.agg(F.count(F.lit(1)).alias("n_texts"), F.avg("len").alias("avg_len")).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def open_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Stored postings and their corpus_stats."""
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats")
 
 
 def query_terms(query: str | Column) -> Column:
@@ -58,26 +90,52 @@ def query_terms(query: str | Column) -> Column:
     return F.filter(F.split(F.lower(q), TERM), lambda t: t != "")
 
 
-def sparse_scores(posted: DataFrame, key: str, query: str) -> DataFrame:
-    """key and score: the inner product of term counts."""
-    weights = posted.sparkSession.range(1).select(F.explode(query_terms(query)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("w"))
-    return posted.join(weights, "term").groupBy(key).agg(F.sum(F.col("tf") * F.col("w")).cast("double").alias("score"))
+def terms_of(query: str) -> list[str]:
+    """The terms of a query, in order, as the postings have them."""
+    return "".join(c if c.isalpha() else " " for c in query.lower()).split()
+
 
+def term_hits(source: DataFrame, key: str, query: str, column: str = "text") -> DataFrame:
+    """key, term, tf and len of the query's terms only, from postings or from texts.
 
-def bm25_scores(posted: DataFrame, key: str, query: str) -> DataFrame:
-    """key and score: BM25 with k1 = 1.2 and b = 0.75, idf = ln(1 + (N - df + 0.5) / (df + 0.5))."""
-    lengths = posted.select(key, "len").distinct()
-    corpus = lengths.agg(F.count(F.lit(1)).alias("n_texts"), F.avg("len").alias("avg_len"))
-    terms = posted.sparkSession.range(1).select(F.explode(F.array_distinct(query_terms(query))).alias("term"))
-    hits = posted.join(terms, "term")
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    Postings (with a column `term`) are filtered, which reaches the scan. In texts only the query's terms
+    are looked for, so no other term is exploded, let alone shuffled.
+    """
+    terms = sorted(set(terms_of(query)))
+    if "term" in source.columns:
+        return source.filter(F.col("term").isin(terms))
+    if not terms:
+        return source.select(key, F.lit("").alias("term"), F.lit(0).cast("long").alias("tf"), F.lit(0).cast("long").alias("len")).limit(0)
+    low = F.lower(F.col(column))
+    pattern = rf"(?<!\p{{L}})(?:{'|'.join(terms)})(?!\p{{L}})"
+    found = source.select(key, low.alias("low")).filter(F.col("low").rlike(pattern)).select(key, F.regexp_count("low", F.lit(r"\p{L}+")).cast("long").alias("len"), F.explode(F.regexp_extract_all("low", F.lit(pattern), F.lit(0))).alias("term"))
+    return found.groupBy(key, "term", "len").agg(F.count(F.lit(1)).alias("tf")).select(key, "term", "tf", "len")
+
+
+def sparse_scores(source: DataFrame, key: str, query: str) -> DataFrame:
+    """key and score: the inner product of term counts; source: postings or texts."""
+    counts = Counter(terms_of(query))
+    weight = F.lit(0)
+    for term, n in counts.items():
+        weight = F.when(F.col("term") == term, F.lit(n)).otherwise(weight)
+    return term_hits(source, key, query).groupBy(key).agg(F.sum(F.col("tf") * weight).cast("double").alias("score"))
+
+
+def bm25_scores(source: DataFrame, key: str, query: str, stats: DataFrame | None = None) -> DataFrame:
+    """key and score: BM25 with k1 = 1.2 and b = 0.75, idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
+
+    source: postings or texts; stats: corpus_stats, where they are stored.
+    """
+    hits = term_hits(source, key, query)
+    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row for each of the query's terms
+    corpus = corpus_stats(source, key) if stats is None else stats
     idf = F.ln(1 + (F.col("n_texts") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return hits.join(df, "term").crossJoin(corpus).groupBy(key).agg(F.sum(weight).alias("score"))
+    return hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(corpus)).groupBy(key).agg(F.sum(weight).alias("score"))
 
 
-def lexical_search(posted: DataFrame, key: str, query: str, limit: int = 50) -> DataFrame:
-    return top(bm25_scores(posted, key, query), limit, key).select(key, F.round("score", 6).alias("score"))
+def lexical_search(source: DataFrame, key: str, query: str, limit: int = 50, stats: DataFrame | None = None) -> DataFrame:
+    return top(bm25_scores(source, key, query, stats), limit, key).select(key, F.round("score", 6).alias("score"))
 
 
 def ranked(hits: DataFrame, *tie: str) -> DataFrame:
@@ -99,8 +157,8 @@ def masked(hits: DataFrame, mask: list[int], limit: int, key: str = "corpus_id")
 def search_papers(store: DataFrame, dense: list[float], posted: DataFrame | None, query: str | None, limit: int = 10, mask: list[int] | None = None, **where) -> DataFrame:
     """corpus_id, year, venue, citation_count and score of the papers nearest to a query.
 
-    store: corpus_id, year, venue, citationcount and embedding. With postings (of corpus_id) and a
-    query text, dense and sparse pools are fused by rank; else the score is the inner product.
+    store: corpus_id, year, venue, citationcount and embedding. With postings or texts (of corpus_id) and
+    a query text, dense and sparse pools are fused by rank; else the score is the inner product.
     Conditions hold before either search.
     """
     mask = mask or []
@@ -108,7 +166,7 @@ def search_papers(store: DataFrame, dense: list[float], posted: DataFrame | None
     eligible = store.filter(conditions(**where))
     hits = top(dense_scores(eligible, dense), pool, "corpus_id")
     if posted is not None and query:
-        sparse = top(sparse_scores(posted.join(eligible.select("corpus_id"), "corpus_id", "left_semi"), "corpus_id", query), pool, "corpus_id")
+        sparse = top(sparse_scores(posted, "corpus_id", query).join(eligible.select("corpus_id"), "corpus_id", "left_semi"), pool, "corpus_id")
         hits = top(fused(ranked(hits, "corpus_id"), ranked(sparse, "corpus_id")), pool, "corpus_id")
     else:
         hits = hits.select("corpus_id", "score")
@@ -125,6 +183,93 @@ def search_snippets(chunks: DataFrame, dense: list[float], limit: int = 10, pape
     return top(left, limit, "chunk_id").select("chunk_id", "paper_corpus_id", "section_idx", F.round("score", 6).alias("score"))
 
 
+def instance_masks(instances: DataFrame, tools: DataFrame) -> DataFrame:
+    """sample_id, tool and mask: the seed ids of each instance, for the tools that declare a mask, else none.
+
+    instances: sample_id and seed_paper_ids (null: none); tools: tool and declares_mask, a few rows.
+    """
+    none = F.array().cast("array<bigint>")
+    ids = F.coalesce(F.col("seed_paper_ids").cast("array<bigint>"), none)
+    return instances.crossJoin(F.broadcast(tools)).select("sample_id", "tool", F.when(F.col("declares_mask"), ids).otherwise(none).alias("mask"))
+
+
+def masked_by_instance(hits: DataFrame, masks: DataFrame, limit: int, key: str = "corpus_id") -> DataFrame:
+    """The first `limit` hits of each sample and tool that its own mask leaves; hits: sample_id, tool, key and score.
+
+    A sample without a mask loses nothing. One join for the whole batch of sessions.
+    """
+    left = hits.join(masks, ["sample_id", "tool"], "left").filter(~F.coalesce(F.array_contains("mask", F.col(key)), F.lit(False)))
+    place = F.row_number().over(Window.partitionBy("sample_id", "tool").orderBy(F.desc(F.round("score", 6)), key))
+    return left.withColumn("rank", place).filter(F.col("rank") <= limit).select("sample_id", "tool", key, "score", "rank")
+
+
+def rows_in_order(table: DataFrame, ids: list[int], key: str = "corpus_id") -> DataFrame:
+    """The table's rows for a list of ids, in the list's order (`pos`); ids that aren't there are left out, repeated ones repeat."""
+    wanted = table.sparkSession.createDataFrame([(i, int(x)) for i, x in enumerate(ids)], f"pos int, {key} long")
+    return table.join(wanted, key).orderBy("pos")
+
+
+#: Evidence up to so many characters in all is looked for by one automaton a task; beyond, by a join on words.
+AUTOMATON_CHARS = 50_000_000
+
+
+def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id and item_id of the texts that contain an item's text, both with case and white space levelled.
+
+    docs: doc_id, text; items: item_id, text. The items' size is summed first. A set that fits a task goes to
+    each as an Aho-Corasick automaton, and texts are read once where they are. Beyond that, texts and items
+    are joined on the longest inner word of the item, which a containing text has, and pairs are verified.
+    """
+    d = docs.select("doc_id", squash("text").alias("t"))
+    e = items.select("item_id", squash("text").alias("e"))
+    if (e.agg(F.sum(F.length("e"))).first()[0] or 0) <= AUTOMATON_CHARS:
+        return _found_by_automaton(d, e.toArrow())
+    return _found_by_words(d, e)
+
+
+def _found_by_automaton(docs: DataFrame, items: pa.Table) -> DataFrame:
+    ids, by = items.column("item_id"), {}
+    for i, text in enumerate(items.column("e").to_pylist()):
+        if text is not None:
+            by.setdefault(text, []).append(i)
+    shared = docs.sparkSession.sparkContext.broadcast(by)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for text, of in shared.value.items():
+            if text:
+                machine.add_word(text, of)
+        machine.make_automaton()
+        empty = shared.value.get("", [])
+        for batch in batches:
+            rows, found = [], []
+            for r, text in enumerate(batch.column("t").to_pylist()):
+                if text is None:
+                    continue
+                hits = {i for _, of in machine.iter(text) for i in of} if len(machine) else set()
+                hits.update(empty)
+                rows += [r] * len(hits)
+                found += sorted(hits)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(found, pa.int64())], names=["doc_id", "nth"])
+
+    nth = docs.sparkSession.createDataFrame(pa.table({"nth": pa.array(range(len(ids)), pa.int64()), "item_id": ids})) if len(ids) else None
+    hits = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "t").mapInArrow(find, "doc_id long, nth long")
+    return hits.join(F.broadcast(nth), "nth").select("doc_id", "item_id") if nth is not None else hits.select("doc_id", F.col("nth").alias("item_id")).limit(0)
+
+
+def _found_by_words(docs: DataFrame, items: DataFrame) -> DataFrame:
+    items = items.withColumn("w", F.split("e", " "))
+    inner = F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0)))
+    keyed = items.filter(F.size("w") > 2).select("item_id", "e", F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"].alias("k"))
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("t", " "))).alias("k"))
+    near = words.join(keyed, "k").select("doc_id", "item_id", "e").distinct()
+    found = near.join(docs, "doc_id").filter(F.contains("t", "e")).select("doc_id", "item_id")
+    short = items.filter(F.size("w") <= 2)
+    return found.union(docs.join(short, F.contains("t", "e")).select("doc_id", "item_id"))
+
+
 def nearest(queries: DataFrame, store: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
     """query_id, key, score and rank of each query's k nearest vectors by inner product, itself left out.
 
@@ -157,6 +302,42 @@ def nearest(queries: DataFrame, store: DataFrame, k: int, key: str = "vec_id") -
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", F.col("id").alias(key), F.round("score", 6).alias("score"), "rank")
 
 
+#: Vectors of a block that are multiplied with a block of queries at once.
+BLOCK_ROWS = 8192
+
+
+def nearest_all(queries: DataFrame, store: DataFrame, k: int, key: str = "vec_id", rows: int = BLOCK_ROWS) -> DataFrame:
+    """The same as `nearest` for any number of queries, none of which comes to the driver.
+
+    Both sides are cut into blocks of about `rows`, by a hash; each pair of blocks is one task's matrix
+    product and leaves k candidates a query, so a side is sent as often as the other has blocks.
+    """
+    blocks_q, blocks_s = (max(1, -(-t.count() // rows)) for t in (queries, store))
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").alias("q")).withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(blocks_q))).withColumn("sb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks_s - 1).cast("long"))))
+    s = store.select(F.col(key).cast("long").alias("id"), F.col("embedding").alias("s")).withColumn("sb", F.pmod(F.xxhash64("id"), F.lit(blocks_s))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks_q - 1).cast("long"))))
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        none = {"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
+        if not len(left) or not len(right):
+            return pa.table(none)
+        matrix = lambda t, c: np.asarray(t.column(c).combine_chunks().flatten(), np.float64).reshape(len(t), -1)
+        mine, other, vectors = left.column("query_id").to_numpy(), right.column("id").to_numpy(), matrix(right, "s")
+        out = []
+        for a in range(0, len(mine), 1024):  # a bounded matrix of scores
+            ids = mine[a : a + 1024]
+            scores = matrix(left.slice(a, 1024), "q") @ vectors.T
+            scores[ids[:, None] == other[None, :]] = -np.inf
+            r = np.round(scores, 6)
+            least = np.partition(r, len(other) - k, axis=1)[:, len(other) - k] if len(other) > k else np.full(len(ids), -np.inf)
+            i, j = np.nonzero((r >= least[:, None]) & np.isfinite(r))  # with those that tie with the k-th
+            out.append(pa.table({"query_id": ids[i], "id": other[j], "score": scores[i, j]}))
+        return pa.concat_tables(out)
+
+    found = q.groupBy("qb", "sb").cogroup(s.groupBy("qb", "sb")).applyInArrow(score, "query_id long, id long, score double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "id"))
+    return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", F.col("id").alias(key), F.round("score", 6).alias("score"), "rank")
+
+
 def read_paper(texts: DataFrame, paper: int, offset: int = 0, limit: int = 200) -> DataFrame:
     """A page of lines of a paper's body (texts: corpus_id, body); a missing paper has no lines."""
     found = texts.filter(F.col("corpus_id") == paper).select(lines("body").alias("ls"))
@@ -253,9 +434,12 @@ class Tools:
         return {n: self._all[n] for n in names}
 
     def call(self, name: str, **arguments) -> dict:
-        """A tool's result, or the error's text; never raises."""
+        """A tool's rows (at most MOST_ROWS), or the error's text. Never raises: the plan is run here, so its errors are caught too."""
         try:
-            return {"result": self.subset([name])[name](**arguments)}
+            result = self.subset([name])[name](**arguments)
+            if isinstance(result, DataFrame):
+                result = [row.asDict(recursive=True) for row in result.limit(MOST_ROWS).collect()]
+            return {"result": result}
         except Exception as e:
             return {"error": f"{type(e).__name__}: {e}"}
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import html_to_text, lines
+from ..functions.vectors import hash_encoding
 from ..operators import etl, retrieval
+from ..sources import shared
 from .fixtures import POSTED, QUERY, RAW, STORE, documents_texts, part_edges, query_vector, raw_papers, store, table
 from .registry import query
 
@@ -28,8 +30,7 @@ SELECT t.corpus_id, year, nullif(venue, '') AS venue, coalesce(citationcount, 0)
 
 
 def _search(spark: SparkSession, sf: str, **k) -> DataFrame:
-    posted = retrieval.postings(documents_texts(spark, sf), "corpus_id")
-    return retrieval.search_papers(store(spark, sf), query_vector(spark, sf), posted, QUERY, **k)
+    return retrieval.search_papers(store(spark, sf), query_vector(spark, sf), documents_texts(spark, sf), QUERY, **k)
 
 
 @query(_hybrid())
@@ -66,14 +67,66 @@ def similar_semantic(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {POSTED}, {_SPARSE} SELECT corpus_id, score FROM sparse ORDER BY score DESC, corpus_id LIMIT 50")
 def sparse_topk(spark: SparkSession, sf: str) -> DataFrame:
-    posted = retrieval.postings(documents_texts(spark, sf), "corpus_id")
-    return retrieval.top(retrieval.sparse_scores(posted, "corpus_id", QUERY), 50, "corpus_id")
+    return retrieval.top(retrieval.sparse_scores(documents_texts(spark, sf), "corpus_id", QUERY), 50, "corpus_id")
 
 
-@query(f"""WITH {POSTED}, n AS (SELECT count(*) AS n, avg(len) AS a FROM (SELECT DISTINCT corpus_id, len FROM posted)), h AS (SELECT * FROM posted WHERE term IN ({_WORDS})), f AS (SELECT term, count(*) AS df FROM h GROUP BY 1)
-SELECT corpus_id, round(sum(ln(1 + (n.n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / a))), 6) AS score FROM h JOIN f USING (term), n GROUP BY 1 ORDER BY score DESC, corpus_id LIMIT 50""")
+_BM25 = f"""WITH {POSTED}, n AS (SELECT count(*) AS n, avg(len) AS a FROM (SELECT DISTINCT corpus_id, len FROM posted)), h AS (SELECT * FROM posted WHERE term IN ({_WORDS})), f AS (SELECT term, count(*) AS df FROM h GROUP BY 1)
+SELECT corpus_id, round(sum(ln(1 + (n.n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / a))), 6) AS score FROM h JOIN f USING (term), n GROUP BY 1 ORDER BY score DESC, corpus_id LIMIT 50"""
+
+
+@query(_BM25)
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.lexical_search(retrieval.postings(documents_texts(spark, sf), "corpus_id"), "corpus_id", QUERY)
+    return retrieval.lexical_search(documents_texts(spark, sf), "corpus_id", QUERY)
+
+
+def _index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    folder = shared.folder(spark, "index")
+    retrieval.store_index(documents_texts(spark, sf), "corpus_id", folder)
+    return retrieval.open_index(spark, folder)
+
+
+@query(_BM25)
+def bm25_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over a stored index, built here first."""
+    posted, stats = _index(spark, sf)
+    return retrieval.lexical_search(posted, "corpus_id", QUERY, stats=stats)
+
+
+@query(f"WITH {POSTED} SELECT corpus_id, term, tf, len, (SELECT count(DISTINCT corpus_id) FROM posted) AS n_texts FROM posted WHERE term IN ({_WORDS})")
+def postings_stored(spark: SparkSession, sf: str) -> DataFrame:
+    posted, stats = _index(spark, sf)
+    return retrieval.term_hits(posted, "corpus_id", QUERY).crossJoin(stats.select("n_texts"))
+
+
+@query(f"""WITH {STORE}, p AS (SELECT a.corpus_id AS query_id, b.corpus_id AS vec_id, round(list_dot_product(a.embedding, b.embedding), 6) AS score FROM store a JOIN store b ON a.corpus_id <> b.corpus_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 10""")
+def dense_topk_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector is a query."""
+    vectors = table(spark, sf, "embeddings")
+    return retrieval.nearest_all(vectors.select(F.col("vec_id").alias("query_id"), "embedding"), vectors, 10)
+
+
+_HIT = "SELECT conv_id AS sample_id, CASE turn % 2 WHEN 0 THEN 'search_papers' ELSE 'read_paper' END AS tool, (conv_id * 3 + turn * 5) % 17 AS corpus_id, max((turn * 7 % 11)::DOUBLE) AS score FROM conversations GROUP BY ALL"
+
+
+@query(f"""WITH h AS ({_HIT}), l AS (SELECT * FROM h WHERE NOT (tool = 'search_papers' AND sample_id % 3 <> 0 AND corpus_id IN (sample_id % 17, (sample_id * 3) % 17))),
+r AS (SELECT *, row_number() OVER (PARTITION BY sample_id, tool ORDER BY score DESC, corpus_id) AS rank FROM l) SELECT sample_id, tool, corpus_id, score, rank FROM r WHERE rank <= 2""")
+def masks_by_instance(spark: SparkSession, sf: str) -> DataFrame:
+    """Each session's own seeds are masked, for the tool that declares a mask; a third of the sessions have none."""
+    turns = table(spark, sf, "conversations")
+    instances = turns.select("conv_id").distinct().selectExpr("conv_id AS sample_id", "CASE WHEN conv_id % 3 <> 0 THEN array(conv_id % 17, (conv_id * 3) % 17) END AS seed_paper_ids")
+    tools = spark.createDataFrame([("search_papers", True), ("read_paper", False)], "tool string, declares_mask boolean")
+    hits = turns.selectExpr("conv_id AS sample_id", "CASE turn % 2 WHEN 0 THEN 'search_papers' ELSE 'read_paper' END AS tool", "(conv_id * 3 + turn * 5) % 17 AS corpus_id", "CAST(turn * 7 % 11 AS DOUBLE) AS score").groupBy("sample_id", "tool", "corpus_id").agg(F.max("score").alias("score"))
+    return retrieval.masked_by_instance(hits, retrieval.instance_masks(instances, tools), 2)
+
+
+_ORDER = [17, 3, 999_999_999, 3, 0, 41, 5]
+
+
+@query(f"SELECT (i - 1)::INT AS pos, doc_id AS corpus_id, lang FROM (SELECT generate_subscripts({_ORDER}, 1) AS i, unnest({_ORDER}) AS id) JOIN documents ON doc_id = id ORDER BY pos")
+def rows_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("corpus_id"), "lang")
+    return retrieval.rows_in_order(rows, _ORDER).select("pos", "corpus_id", "lang")
 
 
 @query(f"WITH {POSTED} SELECT corpus_id, term, tf, len FROM posted")
@@ -122,25 +175,24 @@ def paper_info(spark: SparkSession, sf: str) -> DataFrame:
     return info.select("corpus_id", "title", "year", "venue", "citationcount", "n_sections", "n_lines", "reference_count")
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages""")
+_ENTITIES = {"caf&eacute; &amp; t&#xe9;": "café & té", "it&#8217;s&#x27;": "it\u2019s'", "a&nbsp;&ensp;b &copy; &hellip;": "a b © …", "&amp;lt; stays, &bogus; too": "&lt; stays, &bogus; too", "1 &lt; 2 &ge; 0": "1 < 2 ≥ 0"}
+
+
+@query("SELECT page_id, ([" + ", ".join("'" + x.replace("'", "''") + "'" for x in _ENTITIES.values()) + "])[(page_id % 5)::INT + 1] AS text FROM pages")
+def html_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities by name, by number and in hexadecimal, decoded once."""
+    shown = F.get(F.array(*[F.lit(f"<p class='x'>{x}</p><script>&amp;</script>") for x in _ENTITIES]), (F.col("page_id") % 5).cast("int"))
+    return table(spark, sf, "pages").select("page_id", html_to_text(shown).alias("text"))
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM pages""")
 def html_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", html_to_text("html").alias("text"))
 
 
 @query(r"WITH b AS (SELECT item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS e FROM benchmark), d AS (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM documents) SELECT doc_id, item_id FROM d JOIN b ON contains(t, e)")
 def evidence_contains(spark: SparkSession, sf: str) -> DataFrame:
-    """A containing text has the evidence's inner words as words, so the join is on the longest of them, then verified."""
-    from ..functions.text import squash
-
-    docs = table(spark, sf, "documents").select("doc_id", squash("text").alias("t"))
-    items = table(spark, sf, "benchmark").select("item_id", squash("text").alias("e")).withColumn("w", F.split("e", " "))
-    inner = F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0)))
-    keyed = items.filter(F.size("w") > 2).select("item_id", "e", F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"].alias("k"))
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("t", " "))).alias("k"))
-    near = words.join(keyed, "k").select("doc_id", "item_id", "e").distinct()
-    found = near.join(docs, "doc_id").filter(F.contains("t", "e")).select("doc_id", "item_id")
-    short = items.filter(F.size("w") <= 2)
-    return found.union(docs.join(short, F.contains("t", "e")).select("doc_id", "item_id"))
+    return retrieval.containing(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
 @query(f"WITH {RAW} SELECT corpus_id, regexp_matches(coalesce(text, ''), '(?i)the') AS hit, len({_LINES.replace('body', 'text')})::INT AS n_lines FROM raw")
@@ -148,3 +200,10 @@ def line_counts(spark: SparkSession, sf: str) -> DataFrame:
     return raw_papers(spark, sf).select("corpus_id", F.coalesce("text", F.lit("")).rlike("(?i)the").alias("hit"), F.size(lines("text")).alias("n_lines"))
 
 
+@query("""WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(left(text, 2000)), '[^\\p{L}]+'), lambda t: t <> '')) AS term FROM documents WHERE doc_id < 120),
+h AS (SELECT doc_id, ('0x' || substr(md5(term), 1, 8))::BIGINT AS h FROM t), s AS (SELECT doc_id, h % 16 AS place, sum(CASE WHEN h // 16 % 2 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE AS v FROM h GROUP BY ALL)
+SELECT doc_id, place, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 6) AS value FROM s WHERE v <> 0""")
+def hash_encoder(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").filter("doc_id < 120").select("doc_id", hash_encoding(retrieval.query_terms(F.left("text", F.lit(2000))), 16).alias("v"))
+    places = docs.select("doc_id", F.posexplode("v").alias("place", "value")).filter("value <> 0")
+    return places.select("doc_id", F.col("place").cast("long").alias("place"), F.round("value", 6).alias("value"))

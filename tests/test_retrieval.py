@@ -1,5 +1,7 @@
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,7 +118,7 @@ def test_registry(store, texts):
     assert list(tools.subset(["read_paper"])) == ["read_paper"]
     with pytest.raises(KeyError, match="nope"):
         tools.subset(["read_paper", "nope"])
-    assert tools.call("read_paper", paper=1, limit=1)["result"].first().text == "zero"
+    assert tools.call("read_paper", paper=1, limit=1)["result"][0]["text"] == "zero"
     assert "nope" in tools.call("nope")["error"] and "error" in tools.call("read_paper", wrong=1)
     assert tools.call("submit_answer", answer="x")["result"]["terminal"]
 
@@ -128,3 +130,68 @@ def test_routes():
     assert retrieval.routed("read_paper", {"paper_id": 3, "question": "q"}, "body_revive") == ("snippet_search", {"query": "q", "paper_ids": [3]})
     with pytest.raises(ValueError):
         retrieval.routed("search_papers", {}, "other")
+
+
+TEXTS = [(1, "The cat, the hat: the-cat!"), (2, "ÄTHER äther İstanbul x2y"), (3, ""), (4, None), (5, "caté cat"), (6, "12 34")]
+
+
+def test_terms_of_texts_and_queries_are_the_same(spark):
+    df = spark.createDataFrame([(t or "",) for _, t in TEXTS], "t string")
+    assert [r[0] for r in df.select(retrieval.query_terms(F.col("t"))).collect()] == [retrieval.terms_of(t or "") for _, t in TEXTS]
+
+
+@pytest.mark.parametrize("query", ["the cat", "äther THE", "x y", "nothing of it", "", "12", "cat cat the"])
+def test_hits_in_texts_are_those_in_postings(spark, tmp_path, query):
+    texts = spark.createDataFrame(TEXTS, "corpus_id long, text string")
+    posted = retrieval.postings(texts, "corpus_id")
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    assert rows(retrieval.term_hits(texts, "corpus_id", query)) == rows(retrieval.term_hits(posted, "corpus_id", query))
+    assert rows(retrieval.sparse_scores(texts, "corpus_id", query)) == rows(retrieval.sparse_scores(posted, "corpus_id", query))
+    assert rows(retrieval.bm25_scores(texts, "corpus_id", query)) == rows(retrieval.bm25_scores(posted, "corpus_id", query))
+
+
+def test_stored_index_reads_its_terms_only(spark, tmp_path):
+    texts = spark.createDataFrame(TEXTS, "corpus_id long, text string")
+    retrieval.store_index(texts, "corpus_id", str(tmp_path / "i"))
+    posted, stats = retrieval.open_index(spark, str(tmp_path / "i"))
+    assert tuple(stats.first()) == (3, pytest.approx((6 + 6 + 2) / 3))  # the dotted capital I is two letters in lower case, parted by a mark
+    plan = retrieval.term_hits(posted, "corpus_id", "the cat")._jdf.queryExecution().executedPlan().toString()
+    assert "In(term, [cat,the])" in plan and "Exchange" not in plan
+    assert sorted(map(tuple, posted.collect())) == sorted(map(tuple, retrieval.postings(texts, "corpus_id").collect()))
+
+
+def test_evidence_by_automaton_by_words_and_by_brute_force(spark, monkeypatch):
+    rng = random.Random(4)
+    text = lambda n: " ".join(rng.choices(["ab", "b", "Ab", "cd ", "a", "ü"], k=n))
+    docs = [(i, text(rng.randint(0, 30))) for i in range(40)] + [(90, None)]
+    items = [(i, text(rng.randint(1, 4))) for i in range(25)] + [(70, ""), (71, None), (72, docs[3][1])]
+    level = lambda t: " ".join(t.split()).lower()
+    want = sorted((d, i) for d, t in docs for i, e in items if t is not None and e is not None and level(e) in level(t))
+    d, e = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for most in (10**6, -1):
+        monkeypatch.setattr(retrieval, "AUTOMATON_CHARS", most)
+        assert sorted(map(tuple, retrieval.containing(d, e).collect())) == want
+        assert retrieval.containing(d, e.limit(0)).count() == 0 == retrieval.containing(d.limit(0), e).count()
+
+
+@pytest.mark.parametrize("rows", [7, 40, 1000])
+def test_nearest_of_all_by_blocks(spark, rows):
+    rng = np.random.default_rng(2)
+    v = np.round(rng.standard_normal((90, 5)), 1)  # with ties
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, retrieval.nearest_all(df.withColumnRenamed("vec_id", "query_id"), df, 4, rows=rows).collect()))
+    want = []
+    for i in range(90):
+        best = sorted(((-round(float(v[i] @ v[j]), 6), j) for j in range(90) if j != i))[:4]
+        want += [(i, j, -s, k + 1) for k, (s, j) in enumerate(best)]
+    assert [(a, b, d) for a, b, _, d in got] == [(a, b, d) for a, b, _, d in sorted(want)]
+
+
+def test_errors_of_the_action_are_caught_too(spark):
+    wrong = spark.range(1).selectExpr("id AS corpus_id", "raise_error('late') AS body")
+    assert "late" in retrieval.Tools(texts=wrong.withColumn("body", F.col("body").cast("string"))).call("read_paper", paper=0)["error"]
+
+
+def test_rows_in_order(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "corpus_id long, x string")
+    assert [r.x for r in retrieval.rows_in_order(df, [2, 9, 1, 2]).collect()] == ["b", "a", "b"]
