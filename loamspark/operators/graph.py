@@ -89,14 +89,19 @@ def chains(starts: DataFrame, stored: DataFrame, hops: int, least: int) -> DataF
     """Paths from each start along its first stored edge to a paper not yet on the path.
 
     starts: src. stored: src, dst and ord, the edges' order. Returns path (at most `hops` papers) where
-    it has at least `least`. A step takes one successor, so paths don't multiply.
+    it has at least `least`. A step takes one successor, so paths don't multiply; it is one join, and one
+    aggregate on the start that carries the path along.
     """
-    paths = starts.select("src", F.array("src").alias("path"))
+    paths = starts.select("src").distinct().select("src", F.array("src").alias("path"))
     steps = stored.select(F.col("src").alias("at"), F.col("dst"), F.col("ord"))
     for _ in range(hops - 1):
-        ends = paths.withColumn("at", F.element_at("path", -1))
-        onward = ends.join(steps, "at").filter(~F.array_contains("path", F.col("dst")))
-        nth = F.row_number().over(Window.partitionBy("src", "at").orderBy("ord", "dst"))
-        grown = onward.withColumn("nth", nth).filter("nth = 1").select("src", F.col("dst").alias("next"))
-        paths = paths.join(grown, "src", "left").select("src", F.when(F.col("next").isNotNull(), F.concat("path", F.array("next"))).otherwise(F.col("path")).alias("path"))
+        onward = paths.withColumn("at", F.element_at("path", -1)).join(steps, "at", "left")
+        fresh = F.when(F.col("dst").isNotNull() & ~F.array_contains("path", F.col("dst")), F.struct("ord", "dst"))
+        grown = onward.groupBy("src").agg(F.first("path").alias("path"), F.min(fresh).alias("next"))
+        paths = grown.select("src", F.when(F.col("next").isNotNull(), F.concat("path", F.array("next.dst"))).otherwise(F.col("path")).alias("path"))
     return paths.filter(F.size("path") >= least)
+
+
+def hops_with_fallback(stored: DataFrame, other: DataFrame) -> DataFrame:
+    """src, dst and ord of stored edges, and of the other source for the papers that have no stored edge."""
+    return stored.select("src", "dst", "ord").union(other.join(stored.select("src").distinct(), "src", "left_anti").select("src", "dst", "ord"))

@@ -120,3 +120,17 @@ def chain_two_hop(spark: SparkSession, sf: str) -> DataFrame:
 @query(_chain_sql(4, 4))
 def chain_three_hop(spark: SparkSession, sf: str) -> DataFrame:
     return _chained(spark, sf, 4, 4)
+
+
+@query(_chain_sql(6, 3))
+def chain_five_hop(spark: SparkSession, sf: str) -> DataFrame:
+    return _chained(spark, sf, 6, 3)
+
+
+@query(f"WITH {EDGES}, s AS (SELECT src, dst FROM edges WHERE src % 3 = 0) SELECT src, dst, false AS other FROM s UNION ALL SELECT dst, src, true FROM edges WHERE dst NOT IN (SELECT src FROM s)")
+def hops_with_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored edges, and turned ones for the papers that have none."""
+    edges = part_edges(spark, sf)
+    stored = edges.filter("src % 3 = 0").withColumn("ord", F.lit(0))
+    turned = edges.selectExpr("dst AS src", "src AS dst", "1 AS ord")
+    return graph.hops_with_fallback(stored, turned).select("src", "dst", (F.col("ord") == 1).alias("other"))

@@ -58,3 +58,20 @@ def test_first_edges_win(spark):
     assert sorted((r.src, r.dst, r.e) for r in graph.first_edges(b, "ord").collect()) == [(1, 2, "early"), (1, 3, "x")]
     stored = spark.createDataFrame([(1, 3)], "src long, dst long")
     assert [(r.dst, r.e) for r in graph.new_edges(b, stored, "ord").collect()] == [(2, "early")]
+
+
+def test_chains_grow_by_a_join_a_hop(spark):
+    edges = spark.createDataFrame([(i, (i * 7 + k) % 30, k) for i in range(30) for k in (1, 2)], "src long, dst long, ord int")
+    starts = edges.select("src").distinct()
+    joins = [graph.chains(starts, edges, n, 1)._jdf.queryExecution().optimizedPlan().toString().count("Join ") for n in (2, 3, 4, 5, 6, 9)]
+    assert joins == [1, 2, 3, 4, 5, 8]
+    first = {}
+    for i in range(30):
+        path = [i]
+        while len(path) < 6:
+            onward = [d for d in ((path[-1] * 7 + k) % 30 for k in (1, 2)) if d not in path]
+            if not onward:
+                break
+            path.append(onward[0])
+        first[i] = path
+    assert {r.src: list(r.path) for r in graph.chains(starts, edges, 6, 1).collect()} == first
