@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import f_score, gain, recall
@@ -34,17 +34,51 @@ def index_percentile(values: Column, q: float) -> Column:
     return F.coalesce(F.round(F.get(s, at), 2), F.lit(0.0))
 
 
+def index_percentiles(table: DataFrame, value: str, quantiles: dict[str, float], by: str | None = None) -> DataFrame:
+    """The same over rows: for each group the value at the whole part of q times their number in sorted order.
+
+    Exact, from counts by value rounded to 2 (which keeps the order), so a group is as many rows as it has
+    such values, and no list is made. Nulls count for nothing; a group of nulls only has 0.
+    """
+    group = [by] if by else []
+    counts = table.groupBy(*group, F.round(value, 2).alias("v")).agg(F.count(value).alias("n"))
+    whole = Window.partitionBy(*(group or [F.lit(0)]))
+    summed = counts.withColumns({"upto": F.sum("n").over(whole.orderBy(F.asc_nulls_first("v"))), "all": F.sum("n").over(whole)})
+    at = lambda q: F.least(F.col("all") - 1, F.floor(F.lit(q) * F.col("all")))
+    found = [F.coalesce(F.min(F.when((F.col("n") > 0) & (F.col("upto") > at(q)), F.col("v"))), F.lit(0.0)).alias(name) for name, q in quantiles.items()]
+    return summed.groupBy(*group).agg(*found)
+
+
 def rollout_summary(rollouts: DataFrame, wall_s: float) -> DataFrame:
-    """One row: throughput, error rate and latency percentiles of rollouts (solved, error, latency)."""
-    # percentiles by index need no list of all values: the exact rank is read from value counts
-    out = rollouts.agg(
-        F.count(F.lit(1)).alias("rollouts"),
+    """One row: items, throughput, error rate, latency percentiles and histograms of rollouts (sample_id, solved, error, latency)."""
+    n = F.count(F.lit(1))
+    wall = F.greatest(F.lit(float(wall_s)), F.lit(1e-9))
+    totals = rollouts.agg(
+        n.alias("rollouts"),
+        F.count_distinct("sample_id").alias("items"),
         F.count("error").alias("errors"),
-        F.round(F.count("error") / F.greatest(F.count(F.lit(1)), F.lit(1)), 4).alias("error_rate"),
-        F.round(F.count(F.lit(1)) / F.greatest(F.lit(float(wall_s)), F.lit(1e-9)) * 60, 1).alias("rollouts_per_min"),
+        F.round(F.count("error") / F.greatest(n, F.lit(1)), 4).alias("error_rate"),
+        F.round(n / wall * 60, 1).alias("rollouts_per_min"),
+        F.round(F.count_distinct("sample_id") / wall * 60, 1).alias("items_per_min"),
         F.round(F.coalesce(F.max("latency"), F.lit(0.0)), 2).alias("latency_max"),
     )
-    return out
+    latency = index_percentiles(rollouts, "latency", {"latency_p50": 0.5, "latency_p95": 0.95})
+    listed = lambda t, c: t.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(c).cast("string"), "n")))))
+    solved = listed(counts_by(pass_at_k(rollouts), "passed"), "passed").toDF("pass_histogram")
+    errors = listed(counts_by(rollouts.filter("error is not null"), "error"), "error").toDF("error_histogram")
+    return totals.crossJoin(latency).crossJoin(solved).crossJoin(errors)
+
+
+def rollout_rows(runs: DataFrame, timeout_s: float) -> DataFrame:
+    """sample_id, rollout, solved, error and latency of runs, with one schema however they ended.
+
+    runs: sample_id, rollout, verdict, exception (the name of its type, null if none) and latency. One that
+    raised is unsolved, with that name; one that took the timeout or more is unsolved, with TimeoutError.
+    """
+    late = F.coalesce(F.col("latency") >= timeout_s, F.lit(False))
+    error = F.when(late, "TimeoutError").otherwise(F.nullif("exception", F.lit("")))
+    rows = runs.select("sample_id", "rollout", "verdict", error.alias("error"), F.least(F.col("latency"), F.lit(float(timeout_s))).alias("latency"))
+    return rows.select("sample_id", "rollout", (F.col("error").isNull() & F.coalesce(F.col("verdict") == "Correct", F.lit(False))).alias("solved"), "error", "latency")
 
 
 def counts_by(table: DataFrame, column: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import harmonic, rank_score, recall_at_total
-from ..functions.text import is_prose, label_index, squash
+from ..functions.text import is_prose, label_index, squash, verdict
 
 SURVEYS = "review|survey|overview|meta-analysis"
 #: Anchors that point at the paper through one it cites.
@@ -126,10 +126,10 @@ def paper_set_scores(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     return scored.select("sample_id", F.size("grades").alias("n_pred"), "total", F.round("recall_at_est", 6).alias("recall_at_est"), F.round("rank", 6).alias("rank"), F.round(harmonic(F.col("recall_at_est"), F.col("rank")), 6).alias("reward"))
 
 
-def first_seen(hits: DataFrame, key: str, *order: str) -> DataFrame:
-    """Each id once, with the place of its first appearance over several hit lists."""
-    first = hits.groupBy(key).agg(F.min(F.struct(*order)).alias("at"))
-    return first.withColumn("place", F.row_number().over(Window.orderBy("at", key)))
+def first_seen(hits: DataFrame, key: str, *order: str, by: str = "sample_id") -> DataFrame:
+    """Each id of a sample once, with the place of its first appearance over the sample's hit lists."""
+    first = hits.groupBy(by, key).agg(F.min(F.struct(*order)).alias("at"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("at", key)))
 
 
 def candidates(members: DataFrame, searched: DataFrame, seed: int, most: int) -> DataFrame:
@@ -165,3 +165,12 @@ def retrieval_ranks(hits: DataFrame, seeds: DataFrame) -> DataFrame:
         F.min(F.when(F.col("tool") == "search_snippets", F.col("rank"))).cast("int").alias("snippet_rank"),
         (F.count("rank") > 0).alias("found"),
     )
+
+
+def closed_book(qa: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The questions that a model without tools was judged to answer wrongly; without a verdict a question goes.
+
+    verdicts: sample_id and verdict, several for one sample if it was asked several times: one right answer is enough.
+    """
+    judged = verdicts.groupBy("sample_id").agg(F.count_if(verdict("verdict") == "Correct").alias("right"))
+    return qa.join(judged.filter("right = 0").select("sample_id"), "sample_id", "left_semi")

@@ -206,10 +206,37 @@ def resume_anti(spark: SparkSession, sf: str) -> DataFrame:
     return pending(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id", attempted)
 
 
-@query("SELECT doc_id, concat('sum ', doc_id) AS unfenced, 'a \"b\"' AS unquoted, '1920' AS digits, 'plain' AS plain FROM documents")
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 2 THEN concat('a ``` b ', doc_id) ELSE concat('sum ', doc_id) END AS unfenced,
+CASE doc_id % 4 WHEN 0 THEN concat('d', doc_id, ' "b"') WHEN 1 THEN concat('x', doc_id) WHEN 2 THEN concat(chr(39), 'u', doc_id, '"') ELSE concat('it', chr(39), 's ', doc_id) END AS unquoted,
+concat(doc_id, doc_id % 7) AS digits, concat('plain ', doc_id) AS plain FROM documents""")
 def answer_cleaning(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("```text\nsum "), F.col("doc_id").cast("string"), F.lit("\n``` ")).alias("f"))
-    return rows.select("doc_id", text.unfenced("f").alias("unfenced"), text.unquoted(F.lit("'a \"b\"'")).alias("unquoted"), text.digits_only(F.lit("CorpusId: 19-20")).alias("digits"), traces.plain_argument(F.lit("plain<|observation|> ")).alias("plain"))
+    rows = table(spark, sf, "documents").selectExpr(
+        "doc_id",
+        "CASE doc_id % 3 WHEN 0 THEN concat('```text\\nsum ', doc_id, '\\n``` ') WHEN 1 THEN concat(' sum ', doc_id) ELSE concat('a ``` b ', doc_id) END AS f",
+        """CASE doc_id % 4 WHEN 0 THEN concat("'d", doc_id, ' "b"', "'") WHEN 1 THEN concat('"x', doc_id, '"') WHEN 2 THEN concat("'u", doc_id, '"') ELSE concat("it's ", doc_id) END AS q""",
+        "concat('CorpusId: ', doc_id, '-', doc_id % 7) AS d",
+        "concat('plain ', doc_id, CASE WHEN doc_id % 2 = 0 THEN '<|observation|> ' ELSE '' END) AS p",
+    )
+    return rows.select("doc_id", text.unfenced("f").alias("unfenced"), text.unquoted("q").alias("unquoted"), text.digits_only("d").alias("digits"), traces.plain_argument(F.col("p")).alias("plain"))
+
+
+@query("WITH v AS (SELECT conv_id AS sample_id, count(*) FILTER (lower(trim(text)) LIKE 'a%') AS hits FROM conversations GROUP BY 1) SELECT DISTINCT c.conv_id AS sample_id FROM conversations c JOIN v ON v.sample_id = c.conv_id WHERE c.conv_id % 10 <> 9 AND hits = 0")
+def closed_book(spark: SparkSession, sf: str) -> DataFrame:
+    """Asked once a turn; sessions that end in 9 were never judged."""
+    turns = table(spark, sf, "conversations").selectExpr("conv_id AS sample_id", "CASE WHEN lower(trim(text)) LIKE 'a%' THEN ' Correct ' WHEN turn % 2 = 0 THEN 'incorrect' END AS verdict")
+    return synthesis.closed_book(turns.select("sample_id").distinct(), turns.filter("sample_id % 10 <> 9"))
+
+
+@query(f"WITH {_HITS}, f AS (SELECT sample_id, corpus_id, min(turn * 100 + rank) AS o FROM hits GROUP BY ALL) SELECT sample_id, corpus_id, row_number() OVER (PARTITION BY sample_id ORDER BY o, corpus_id)::INT AS place FROM f")
+def first_seen_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Of all samples at once."""
+    return synthesis.first_seen(_hits(spark, sf), "corpus_id", "turn", "rank").select("sample_id", "corpus_id", "place")
+
+
+@query("SELECT doc_id, list_distinct(list_concat([doc_id, doc_id % 7], CASE WHEN doc_id % 3 = 0 THEN [] ELSE [doc_id % 7, doc_id % 5] END)).list_sort() AS ids FROM documents")
+def backfilled_ids(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "documents").selectExpr("doc_id", "array(doc_id, doc_id % 7) AS submitted", "CASE WHEN doc_id % 3 <> 0 THEN array(doc_id % 7, doc_id % 5) END AS searched")
+    return rows.select("doc_id", F.sort_array(traces.backfilled_ids(F.col("submitted"), F.col("searched"))).alias("ids"))
 
 
 @query("SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'a, 2' ELSE 'plain' END AS gold FROM documents")

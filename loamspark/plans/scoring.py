@@ -136,13 +136,31 @@ def error_histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_ROLL}, l AS (SELECT policy, list_sort(list(latency)) AS s FROM roll GROUP BY 1) SELECT policy, round(s[least(len(s) - 1, floor(0.5 * len(s))::BIGINT) + 1], 2) AS p50, round(s[least(len(s) - 1, floor(0.95::DOUBLE * len(s))::BIGINT) + 1], 2) AS p95 FROM l")
 def pct_rank_index(spark: SparkSession, sf: str) -> DataFrame:
-    by = _rollouts(spark, sf).groupBy("policy").agg(F.collect_list("latency").alias("l"))
-    return by.select("policy", *[evaluation.index_percentile(F.col("l"), q).alias(f"p{int(q * 100)}") for q in (0.5, 0.95)])
+    return evaluation.index_percentiles(_rollouts(spark, sf), "latency", {"p50": 0.5, "p95": 0.95}, "policy")
 
 
 @query(f"WITH {_ROLL} SELECT count(*) AS rollouts, count(error) AS errors, round(count(error) / count(*), 4) AS error_rate, round(count(*) / 120.0::DOUBLE * 60, 1) AS rollouts_per_min, round(max(latency), 2) AS latency_max FROM roll")
 def rollout_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluation.rollout_summary(_rollouts(spark, sf), 120.0)
+    return evaluation.rollout_summary(_rollouts(spark, sf), 120.0).select("rollouts", "errors", "error_rate", "rollouts_per_min", "latency_max")
+
+
+_PERCENTILE = "round((list_sort(list(latency)))[least(count(*) - 1, floor({0}::DOUBLE * count(*))::BIGINT) + 1], 2)"
+
+
+@query(f"""WITH {_ROLL}, p AS (SELECT sample_id, sum(coalesce(solved::INT, 0))::BIGINT AS passed FROM roll GROUP BY 1), h AS (SELECT passed, count(*) AS n FROM p GROUP BY 1), e AS (SELECT error, count(*) AS n FROM roll WHERE error IS NOT NULL GROUP BY 1)
+SELECT count(DISTINCT sample_id) AS items, round(count(DISTINCT sample_id) / 120.0::DOUBLE * 60, 1) AS items_per_min, {_PERCENTILE.format(0.5)} AS latency_p50, {_PERCENTILE.format(0.95)} AS latency_p95,
+(SELECT string_agg(concat(passed, ':', n), ',' ORDER BY passed) FROM h) AS passes, (SELECT string_agg(concat(error, ':', n), ',' ORDER BY error) FROM e) AS errors_by_type FROM roll""")
+def run_summary(spark: SparkSession, sf: str) -> DataFrame:
+    out = evaluation.rollout_summary(_rollouts(spark, sf), 120.0)
+    shown = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
+    return out.select("items", "items_per_min", "latency_p50", "latency_p95", shown("pass_histogram").alias("passes"), shown("error_histogram").alias("errors_by_type"))
+
+
+@query("""SELECT event_id // 4 AS sample_id, event_id % 4 AS rollout, event_type = 'purchase' AND value < 50 AND event_id % 6 <> 0 AS solved,
+CASE WHEN value >= 50 THEN 'TimeoutError' WHEN event_id % 6 = 0 THEN 'ValueError' END AS error, least(value, 50.0::DOUBLE) AS latency FROM events""")
+def rollout_rows(spark: SparkSession, sf: str) -> DataFrame:
+    runs = table(spark, sf, "events").selectExpr("event_id div 4 AS sample_id", "event_id % 4 AS rollout", "CASE WHEN event_type = 'purchase' THEN 'Correct' WHEN event_id % 5 <> 0 THEN 'Incorrect' END AS verdict", "CASE WHEN event_id % 6 = 0 THEN 'ValueError' WHEN event_id % 7 = 0 THEN '' END AS exception", "value AS latency")
+    return evaluation.rollout_rows(runs, 50.0)
 
 
 @query(f"WITH {_ROLL} SELECT policy, round(avg(coalesce(solved::INT, 0)) * 100, 4) AS solve_rate FROM roll GROUP BY 1")

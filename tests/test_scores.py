@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,3 +82,22 @@ def test_rewards_have_fixed_columns(spark):
     assert {(r.sample_id, r.score, r.method, r.parse) for r in out.collect()} == {("a", 1.0, "judge", None), ("b", 0.0, "no_answer", None), ("c", 0.5, "paper_set", "json")}
     row = evaluation.reward_summary(out).first()
     assert (row.n, row.mean_score, row.n_judge, row.n_paper_set, row.n_no_answer, row.parse_failures) == (3, 0.5, 1, 1, 1, 0)
+
+
+def test_percentiles_of_rows_are_those_of_lists(spark):
+    rng = random.Random(3)
+    rows = [(g, rng.choice([None, round(rng.random(), 2), rng.random() * 3, 0.5])) for g in "aaabbc" * 40] + [("d", None), ("e", 1.005)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (r.p0, r.p50, r.p95) for r in evaluation.index_percentiles(df, "v", {"p0": 0.0, "p50": 0.5, "p95": 0.95}, "g").collect()}
+    for g in "abcde":
+        s = sorted(v for h, v in rows if h == g and v is not None)
+        want = [s[min(len(s) - 1, int(q * len(s)))] if s else 0.0 for q in (0.0, 0.5, 0.95)]
+        assert all(abs(x - y) <= 0.00501 for x, y in zip(got[g], want)), g
+    one = evaluation.index_percentiles(df, "v", {"p50": 0.5}).collect()
+    assert len(one) == 1 and evaluation.index_percentiles(df.limit(0), "v", {"p50": 0.5}, "g").count() == 0
+
+
+def test_rollout_rows(spark):
+    runs = spark.createDataFrame([(1, 0, "Correct", None, 2.0), (1, 1, "Correct", "KeyError", 1.0), (1, 2, "Correct", None, 99.0), (1, 3, None, "", 3.0)], "sample_id long, rollout long, verdict string, exception string, latency double")
+    got = [(r.solved, r.error, r.latency) for r in evaluation.rollout_rows(runs, 60.0).orderBy("rollout").collect()]
+    assert got == [(True, None, 2.0), (False, "KeyError", 1.0), (False, "TimeoutError", 60.0), (False, None, 3.0)]
