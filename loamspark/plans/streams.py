@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.traces import fold
+from ..sources import shared
 from ..streaming import streams
 from .registry import query
 
@@ -19,7 +17,7 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT time_bucket(INTERVAL '6 hours', ts) AS window_start, event_type, count(*) AS n, count(*) FILTER (value < 0) AS n_negative, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2")
 def stream_event_windows(spark: SparkSession, sf: str) -> DataFrame:
-    out = streams.to_memory(streams.window_stats(_events(spark, sf), "6 hours"), "stream_event_windows", "complete")
+    out = streams.to_files(streams.window_stats(_events(spark, sf), "6 hours"), shared.folder(spark, "windows"), "complete")
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
@@ -27,7 +25,7 @@ def stream_event_windows(spark: SparkSession, sf: str) -> DataFrame:
 def stream_once(spark: SparkSession, sf: str) -> DataFrame:
     events = _events(spark, sf)
     twice = events.union(events)
-    out = streams.to_memory(streams.once(twice.select("event_id", "ts"), "event_id", "60 days"), "stream_once", "append")
+    out = streams.to_files(streams.once(twice.select("event_id", "ts"), "event_id", "60 days"), shared.folder(spark, "once"), "append")
     return out.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("n_ids"), F.sum("event_id").alias("total"))
 
 
@@ -36,7 +34,13 @@ _TURNS = "t AS (SELECT user_id, list(event_type ORDER BY event_id) AS t FROM eve
 
 @query(f"WITH {_TURNS} SELECT user_id, n::BIGINT AS n_turns, t[n] AS last_type, CASE WHEN t[n] = 'purchase' THEN 'terminal' WHEN n >= 12 THEN 'max_turns' ELSE 'open' END AS reason FROM n")
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    """By the same fold that a stateful stream makes; tests hold the stream against it."""
+    """The stateful stream itself, run to its end."""
+    return streams.to_files(streams.session_states(_events(spark, sf), "purchase", 12), shared.folder(spark, "sessions"), "update", ["user_id"])
+
+
+@query(f"WITH {_TURNS} SELECT user_id, n::BIGINT AS n_turns, t[n] AS last_type, CASE WHEN t[n] = 'purchase' THEN 'terminal' WHEN n >= 12 THEN 'max_turns' ELSE 'open' END AS reason FROM n")
+def session_table(spark: SparkSession, sf: str) -> DataFrame:
+    """What the stream comes to, by built-in functions over the table."""
     return streams.session_table(_events_table(spark, sf), "purchase", 12)
 
 
@@ -46,8 +50,7 @@ def _events_table(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def stream_two_sinks(spark: SparkSession, sf: str) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{base.rstrip('/')}/two-sinks-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="two-sinks-")
+    folder = shared.folder(spark, "two-sinks")
     details, summary = f"{folder}/details", f"{folder}/summary"
     streams.two_sinks(_events(spark, sf), details, summary, f"{folder}/checkpoint", "event_type").awaitTermination()
     return spark.read.parquet(summary).groupBy("event_type").agg(F.sum("n").alias("n"))
@@ -58,7 +61,19 @@ def event_fold(spark: SparkSession, sf: str) -> DataFrame:
     return fold(_events_table(spark, sf), "user_id", "event_id", "event_type").select("user_id", "n_turns", F.element_at("turns", -1)["event_type"].alias("last_type"))
 
 
-@query("SELECT time_bucket(INTERVAL '1 day', ts) AS window_start, count(*) AS n, max(value) >= quantile_disc(value, 0.95) AS ordered FROM events GROUP BY 1")
+@query("SELECT time_bucket(INTERVAL '1 day', ts) AS window_start, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1")
 def latency_windows(spark: SparkSession, sf: str) -> DataFrame:
-    out = streams.latency_stats(_events_table(spark, sf), "1 day")
-    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", (F.col("p95") >= F.col("p50")).alias("ordered"))
+    out = streams.latency_stats(_events_table(spark, sf), "1 day", accuracy=1_000_000)
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", "p50", "p95")
+
+
+@query("SELECT count(*) AS n, count(DISTINCT user_id) AS n_users, sum(event_id)::BIGINT AS total FROM events")
+def stream_resume(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream that is stopped after its first files and started again: the checkpoint remembers what is done."""
+    folder = shared.folder(spark, "resume")
+    events = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    for part in (0, 1):
+        events.filter(F.col("event_id") % 2 == part).write.mode("append").parquet(f"{folder}/in")
+        for _ in range(2):  # the second run finds nothing new
+            streams.resume(streams.event_stream(spark, f"{folder}/in", 1), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("n_users"), F.sum("event_id").alias("total"))

@@ -36,18 +36,32 @@ def window_stats(events: DataFrame, length: str, late: str = "1 hour") -> DataFr
     return by.select(F.col("w.start").alias("window_start"), "event_type", "n", "n_negative", "mean_value")
 
 
-def latency_stats(events: DataFrame, length: str, late: str = "1 hour") -> DataFrame:
-    """Approximate median and 95th percentile of each window's values."""
+def latency_stats(events: DataFrame, length: str, late: str = "1 hour", accuracy: int = 10_000) -> DataFrame:
+    """Median and 95th percentile of each window's values: of a rank at most their number over `accuracy` off, so exact below that."""
     marked = events.withWatermark("ts", late) if events.isStreaming else events
-    by = marked.groupBy(F.window("ts", length).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("value", [0.5, 0.95]).alias("p"))
+    by = marked.groupBy(F.window("ts", length).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("value", [0.5, 0.95], accuracy).alias("p"))
     return by.select(F.col("w.start").alias("window_start"), "n", F.get("p", F.lit(0)).alias("p50"), F.get("p", F.lit(1)).alias("p95"))
 
 
-def to_memory(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Run a stream over all that is there, and return its table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def to_files(stream: DataFrame, folder: str, mode: str, key: list[str] | None = None) -> DataFrame:
+    """Run a stream over all that is there into a folder, and return its table.
+
+    Each micro-batch is written under its number, so one that is run again takes its own place. What counts
+    is all batches (append), the last one (complete), or each key's row of the last batch that has it (update).
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = stream.sparkSession.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch long").parquet(f"{folder}/rows")
+    if mode == "complete":
+        return rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch").drop("batch")
+    if mode == "update":
+        rest = [c for c in stream.columns if c not in key]
+        last = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("last"))
+        return last.select(*[F.col(c) if c in key else F.col("last")[c].alias(c) for c in stream.columns])
+    return rows.drop("batch")
 
 
 def two_sinks(stream: DataFrame, details: str, summary: str, checkpoint: str, key: str) -> StreamingQuery:
@@ -79,11 +93,11 @@ def session_states(stream: DataFrame, terminal: str, most: int) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, last, reason = state.get if state.exists else (0, None, "open")
-        for rows in batches:
-            for kind in rows.sort_values("event_id").event_type:
-                if reason == "open":
-                    n, last = n + 1, kind
-                    reason = "terminal" if kind == terminal else "max_turns" if n >= most else "open"
+        parts = list(batches)  # a trigger's rows of one user can come in several parts: they are sorted together
+        for kind in pd.concat(parts).sort_values("event_id").event_type if parts else ():
+            if reason == "open":
+                n, last = n + 1, kind
+                reason = "terminal" if kind == terminal else "max_turns" if n >= most else "open"
         state.update((n, last, reason))
         yield pd.DataFrame({"user_id": [key[0]], "n_turns": [n], "last_type": [last], "reason": [reason]})
 
