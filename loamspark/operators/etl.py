@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import chunk_spans, joined, labelled, norm_doi
 from ..functions.vectors import placeholder
@@ -73,9 +77,14 @@ def title_abstract(title: Column, abstract: Column) -> Column:
     return F.concat(F.lit("Title: "), F.coalesce(title, F.lit("")), F.lit("\nAbstract: "), F.coalesce(abstract, F.lit("")))
 
 
+@F.pandas_udf(T.LongType())
+def _blake2b(places: pd.Series) -> pd.Series:
+    return places.map(lambda p: int.from_bytes(hashlib.blake2b(p.encode(), digest_size=8).digest(), "big", signed=True))
+
+
 def chunk_id(*parts: Column) -> Column:
-    """A 64-bit id of a chunk's place."""
-    return F.xxhash64(F.concat_ws(":", *[p.cast("string") for p in parts]))
+    """The id of a chunk's place: the signed 64-bit BLAKE2b of its parts joined by colons, so that ids join with stored ones."""
+    return _blake2b(F.concat_ws(":", *[p.cast("string") for p in parts]))
 
 
 def chunks(raw: DataFrame, window: int = WINDOW, overlap: int = OVERLAP, min_chars: int = MIN_CHARS) -> DataFrame:

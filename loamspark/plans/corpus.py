@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,6 +97,18 @@ def chunk_slide(spark: SparkSession, sf: str) -> DataFrame:
     return etl.chunks(raw_papers(spark, sf), 160, 40, 20).drop("chunk_id")
 
 
+def _place_ids() -> str:
+    ids = {(d, s, a): int.from_bytes(hashlib.blake2b(f"{d}:{s}:{a}:{a + 160}".encode(), digest_size=8).digest(), "big", signed=True) for d in range(40) for s, a in ((-1, 0), (0, 120), (3, 240))}
+    return ", ".join(f"({d}, {s}, {a}, {i})" for (d, s, a), i in ids.items())
+
+
+@query(f"SELECT v.* FROM (VALUES {_place_ids()}) v(corpus_id, section_idx, char_start, chunk_id) JOIN documents ON doc_id = corpus_id")
+def chunk_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of places, against BLAKE2b of the standard library."""
+    places = table(spark, sf, "documents").filter("doc_id < 40").selectExpr("doc_id AS corpus_id", "inline(array(named_struct('section_idx', -1, 'char_start', 0), named_struct('section_idx', 0, 'char_start', 120), named_struct('section_idx', 3, 'char_start', 240)))")
+    return places.select("corpus_id", "section_idx", "char_start", etl.chunk_id(F.col("corpus_id"), F.col("section_idx"), F.col("char_start"), F.col("char_start") + 160).alias("chunk_id"))
+
+
 @query(f"""WITH {RAW} SELECT corpus_id, array_to_string(list_filter([parsed_title, abstract, summary], lambda x: x IS NOT NULL AND x <> ''), chr(10) || chr(10)) AS embedded,
 array_to_string(list_filter([CASE WHEN parsed_title <> '' THEN 'Title: ' || parsed_title END, CASE WHEN abstract <> '' THEN 'Abstract: ' || abstract END, CASE WHEN summary <> '' THEN 'Summary: ' || summary END], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS public,
 'Title: ' || coalesce(parsed_title, '') || chr(10) || 'Abstract: ' || coalesce(abstract, '') AS title_abstract FROM raw""")

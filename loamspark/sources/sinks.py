@@ -26,9 +26,12 @@ def write_json(table: DataFrame, path: str, *parts: str, mode: str = "overwrite"
     (writer.partitionBy(*parts) if parts else writer).json(path)
 
 
-def append_new(rows: DataFrame, path: str, *key: str) -> None:
-    """Append the rows whose key isn't stored yet, the first of equal ones."""
-    once = rows.dropDuplicates(list(key))
+def append_new(rows: DataFrame, path: str, *key: str, order: str | None = None) -> None:
+    """Append the rows whose key isn't stored yet; of equal ones the first by `order`, or as the rows come."""
+    rest = [c for c in rows.columns if c not in key]
+    at = F.col(order) if order else F.monotonically_increasing_id()
+    first = rows.withColumn("__at", at).groupBy(*key).agg(F.min_by(F.struct(*rest) if rest else F.lit(True), "__at").alias("__first"))
+    once = first.select(*[F.col(c) if c in key else F.col("__first")[c].alias(c) for c in rows.columns])
     stored = optional(rows.sparkSession, path) if not path.endswith(".json") else None
     if path.endswith(".json"):
         try:

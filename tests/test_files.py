@@ -84,12 +84,18 @@ def test_tables_of_bounded_files(spark, tmp_path):
 def test_append_new(spark, tmp_path, suffix):
     path = str(tmp_path / f"s{suffix}")
     rows = lambda *r: spark.createDataFrame(list(r), "src long, dst long, e string")
-    sinks.append_new(rows((1, 2, "a"), (1, 2, "a")), path, "src", "dst")
+    sinks.append_new(rows((1, 2, "a"), (1, 2, "z"), (1, 2, "0")).coalesce(1), path, "src", "dst")
     sinks.append_new(rows((1, 2, "b"), (1, 3, "c")), path, "src", "dst")
     stored = spark.read.schema("src long, dst long, e string").json(path) if suffix else spark.read.parquet(path)
     assert sorted((r.dst, r.e) for r in stored.collect()) == [(2, "a"), (3, "c")]
 
 
+def test_append_new_by_order(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 2, 9, "late"), (1, 2, 3, "first"), (1, 2, 5, "then"), (2, 2, 1, None)], "src long, dst long, ord long, e string")
+    sinks.append_new(rows.repartition(4), str(tmp_path / "o"), "src", "dst", order="ord")
+    assert sorted((r.src, r.ord, r.e) for r in spark.read.parquet(str(tmp_path / "o")).collect()) == [(1, 3, "first"), (2, 1, None)]
+
+
 def test_json_by_part(spark, tmp_path):
     sinks.write_json(spark.createDataFrame([(1, "a"), (2, "b")], "step int, x string"), str(tmp_path / "r"), "step")
     assert sorted(p.name for p in (tmp_path / "r").glob("step=*")) == ["step=1", "step=2"]
