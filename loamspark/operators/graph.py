@@ -47,6 +47,12 @@ def shuffled(table: DataFrame, column: str, seed: int, limit: int, offset: int =
     return table.orderBy(keyed_order(seed, F.col(column)), column).offset(offset).limit(limit)
 
 
+def quota_page(table: DataFrame, column: str, seed: int, size: int, page: int, quota: int) -> DataFrame:
+    """A page (from 0) of the same, cut where the pages up to it come to the quota."""
+    before = page * size
+    return shuffled(table, column, seed, max(0, min(size, quota - before)), before)
+
+
 def attach_cited(seeds: DataFrame, edges: DataFrame, texts: DataFrame, meta: DataFrame, n: int, need_abstract: bool = False) -> DataFrame:
     """For each seed (src) its `n` least cited titled references; seeds without one are left out."""
     titled = texts.filter("title is not null and title <> ''")

@@ -16,6 +16,8 @@ from ..functions.vectors import dot, reciprocal_rank
 from . import graph
 
 BEAM = 128
+#: Lists of ids up to this long go into a filter.
+FEW_IDS = 1000
 #: A call's answer is for a reader, so it has so many rows at most.
 MOST_ROWS = 1000
 POOL = 50
@@ -174,10 +176,19 @@ def search_papers(store: DataFrame, dense: list[float], posted: DataFrame | None
     return named.select("corpus_id", "year", F.nullif("venue", F.lit("")).alias("venue"), F.coalesce("citationcount", F.lit(0)).alias("citation_count"), F.round("score", 6).alias("score"))
 
 
-def search_snippets(chunks: DataFrame, dense: list[float], limit: int = 10, papers: list[int] | None = None, mask: list[int] | None = None) -> DataFrame:
+def of_ids(table: DataFrame, column: str, ids: list[int] | DataFrame) -> DataFrame:
+    """The rows with one of these ids: a list of a few goes into the filter, a long one or a table (its first column) is semi-joined."""
+    if isinstance(ids, list):
+        if len(ids) <= FEW_IDS:
+            return table.filter(F.col(column).isin(ids))
+        ids = table.sparkSession.createDataFrame(pa.table({"id": pa.array(ids, pa.int64())}))
+    return table.join(ids.select(F.col(ids.columns[0]).alias(column)), column, "left_semi")
+
+
+def search_snippets(chunks: DataFrame, dense: list[float], limit: int = 10, papers: list[int] | DataFrame | None = None, mask: list[int] | None = None) -> DataFrame:
     """chunk_id, paper_corpus_id, section_idx and score of the nearest chunks, of some papers or of all."""
     mask = mask or []
-    within = chunks.filter(F.col("paper_corpus_id").isin(papers)) if papers else chunks
+    within = of_ids(chunks, "paper_corpus_id", papers) if papers else chunks
     pool = top(dense_scores(within, dense), min(limit + 4 * len(mask), BEAM), "chunk_id")
     left = pool.filter(~F.col("paper_corpus_id").isin(mask)) if mask else pool
     return top(left, limit, "chunk_id").select("chunk_id", "paper_corpus_id", "section_idx", F.round("score", 6).alias("score"))

@@ -134,3 +134,9 @@ def hops_with_fallback(spark: SparkSession, sf: str) -> DataFrame:
     stored = edges.filter("src % 3 = 0").withColumn("ord", F.lit(0))
     turned = edges.selectExpr("dst AS src", "src AS dst", "1 AS ord")
     return graph.hops_with_fallback(stored, turned).select("src", "dst", (F.col("ord") == 1).alias("other"))
+
+
+@query(f"WITH {EDGES}, s AS (SELECT src, count(*) AS d FROM edges GROUP BY 1 HAVING count(*) BETWEEN 5 AND 40) SELECT * FROM s ORDER BY {_SHUFFLE.format(c='src', seed=42)}, src LIMIT 10 OFFSET 50")
+def seed_page_quota(spark: SparkSession, sf: str) -> DataFrame:
+    """The third page of 25, of which a quota of 60 leaves 10."""
+    return graph.quota_page(graph.seeds_by_degree(part_edges(spark, sf), 5, 40), "src", 42, 25, 2, 60)

@@ -41,6 +41,17 @@ def table_stored(spark: SparkSession, sf: str) -> DataFrame:
     return readers.optional(spark, f"{path}/there").withColumn("missing", F.lit(sum(t is not None for t in missing)))
 
 
+@query("SELECT source, count(*) AS n FROM documents GROUP BY 1")
+def table_named(spark: SparkSession, sf: str) -> DataFrame:
+    """A table saved by name and read by it; the name is given up again."""
+    path = shared.folder(spark, "named")
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    sinks.save_table(table(spark, sf, "documents").select("doc_id", "source"), name, path)
+    out = readers.optional_table(spark, name).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 @query("SELECT conv_id, turn, role, text FROM conversations")
 def json_stored(spark: SparkSession, sf: str) -> DataFrame:
     """JSON lines in a folder for each role."""

@@ -207,3 +207,11 @@ def hash_encoder(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").filter("doc_id < 120").select("doc_id", hash_encoding(retrieval.query_terms(F.left("text", F.lit(2000))), 16).alias("v"))
     places = docs.select("doc_id", F.posexplode("v").alias("place", "value")).filter("value <> 0")
     return places.select("doc_id", F.col("place").cast("long").alias("place"), F.round("value", 6).alias("value"))
+
+
+@query(f"""WITH {_Q0}, c AS (SELECT vec_id AS chunk_id, vec_id // 3 AS paper_corpus_id, (vec_id % 3 - 1)::INT AS section_idx, round(list_dot_product(embedding::DOUBLE[], q), 6) AS score FROM embeddings, q WHERE vec_id // 3 IN (SELECT doc_id FROM labels))
+SELECT * FROM c ORDER BY score DESC, chunk_id LIMIT 10""")
+def snippets_of_papers(spark: SparkSession, sf: str) -> DataFrame:
+    """Among the papers of a table, however many they are."""
+    chunks = table(spark, sf, "embeddings").selectExpr("vec_id AS chunk_id", "vec_id div 3 AS paper_corpus_id", "CAST(vec_id % 3 - 1 AS INT) AS section_idx", "embedding")
+    return retrieval.search_snippets(chunks, query_vector(spark, sf), 10, table(spark, sf, "labels").select("doc_id"))

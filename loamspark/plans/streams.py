@@ -77,3 +77,30 @@ def stream_resume(spark: SparkSession, sf: str) -> DataFrame:
         for _ in range(2):  # the second run finds nothing new
             streams.resume(streams.event_stream(spark, f"{folder}/in", 1), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/out").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("n_users"), F.sum("event_id").alias("total"))
+
+
+_GRADED = (
+    "event_id AS sample_id",
+    "CASE event_id % 3 WHEN 0 THEN 'paper_set' ELSE 'value' END AS answer_type",
+    "CASE event_id % 5 WHEN 0 THEN '' ELSE 'a' END AS answer",
+    "CASE event_type WHEN 'purchase' THEN 'Correct' ELSE 'Incorrect' END AS verdict",
+    "value AS set_reward",
+    "0.5D AS recall_at_est",
+    "0.5D AS rank",
+    "3 AS n_pred",
+    "CASE event_id % 7 WHEN 0 THEN 'empty' ELSE 'json' END AS parse",
+)
+
+
+@query("""WITH g AS (SELECT CASE WHEN event_id % 3 = 0 THEN value WHEN event_id % 5 <> 0 AND event_type = 'purchase' THEN 1.0 ELSE 0.0 END AS score, CASE WHEN event_id % 3 = 0 THEN 'paper_set' WHEN event_id % 5 <> 0 THEN 'judge' ELSE 'no_answer' END AS method, event_id FROM events)
+SELECT method, count(*) AS n, round(sum(score), 4) AS total, count(*) FILTER (event_id % 21 = 0) AS failures, (SELECT count(*) FROM events) AS n_summed FROM g GROUP BY 1""")
+def stream_rewards(spark: SparkSession, sf: str) -> DataFrame:
+    """Three steps of rewards; the summaries' rows add up to all."""
+    folder = shared.folder(spark, "rewards")
+    events = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    events.repartition(3, "event_id").write.parquet(f"{folder}/in")
+    graded = streams.event_stream(spark, f"{folder}/in", 1).selectExpr(*_GRADED)
+    streams.reward_steps(graded, folder).awaitTermination()
+    rows = spark.read.schema("sample_id long, score double, method string, parse string").json(f"{folder}/rows")
+    n = spark.read.schema("n long").json(f"{folder}/summary").agg(F.sum("n").alias("n_summed"))
+    return rows.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 4).alias("total"), F.count_if(F.col("parse") == "empty").alias("failures")).crossJoin(n)

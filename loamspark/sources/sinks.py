@@ -20,6 +20,11 @@ def write_table(table: DataFrame, path: str, key: str | None = None, rows_per_fi
     (writer.option("maxRecordsPerFile", rows_per_file) if rows_per_file else writer).parquet(path)
 
 
+def save_table(table: DataFrame, name: str, path: str) -> None:
+    """A named table of the session's catalogue, its files at a path of their own."""
+    table.write.mode("overwrite").option("path", path).saveAsTable(name)
+
+
 def write_json(table: DataFrame, path: str, *parts: str, mode: str = "overwrite") -> None:
     """JSON lines, in a folder for each value of the parts."""
     writer = table.write.mode(mode)

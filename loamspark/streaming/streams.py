@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.evaluation import reward_summary, rewards
+
 
 def event_stream(spark: SparkSession, path: str, per_trigger: int | None = None) -> DataFrame:
     """The files of a folder (or one file) as a stream, with `ts` as a time that can carry a watermark."""
@@ -80,9 +82,28 @@ def two_sinks(stream: DataFrame, details: str, summary: str, checkpoint: str, ke
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def resume(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Append what hasn't been processed yet; the checkpoint remembers what has."""
-    return stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def reward_steps(stream: DataFrame, folder: str) -> StreamingQuery:
+    """Rewards of a stream of graded rows, a micro-batch being a step: all its rows as JSON lines in step=N, and a summary of one row.
+
+    A step that is run again overwrites its own folders.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        rewarded = rewards(batch).persist()
+        rewarded.write.mode("overwrite").json(f"{folder}/rows/step={number}")
+        reward_summary(rewarded).write.mode("overwrite").json(f"{folder}/summary/step={number}")
+        rewarded.unpersist()
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+
+
+def resume(stream: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Append what hasn't been processed yet; the checkpoint remembers what has.
+
+    Once over what is there, or on and on with a micro-batch each interval ("10 seconds").
+    """
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 SESSION = "user_id long, n_turns long, last_type string, reason string"
