@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,9 +69,9 @@ def decrypted(cipher: pd.Series, key: pd.Series) -> pd.Series:
         if c is None or k is None:
             return None
         try:
-            data = base64.b64decode(c)
-            stream = hashlib.sha256(k.encode()).digest()
-            return bytes(b ^ stream[i % len(stream)] for i, b in enumerate(data)).decode()
+            data = np.frombuffer(base64.b64decode(c), np.uint8)
+            stream = np.frombuffer(hashlib.sha256(k.encode()).digest(), np.uint8)
+            return (data ^ np.resize(stream, len(data))).tobytes().decode()
         except ValueError:
             return None
 
