@@ -5,14 +5,13 @@ Each text has a fingerprint of BITS bits: the signs of the sum of its words' ran
 near copies if their fingerprints differ in at most `most` bits; groups are the connected
 components of that.
 
-Candidates: the fingerprint is cut into 32-bit segments, few enough that of two fingerprints with
-2 * SEGMENTS - 1 or fewer differences one segment differs by at most one bit. A segment with one bit
-deleted, with that bit's position, is a variant; two segments that differ by one bit or none share a
-variant. A difference of one bit lies in one half of a segment, so a segment's variants are sent by
-its other half, which is equal (one row for each half instead of one for each bit), and joined on
-equality there. Fingerprints travel in rows of many, by the
-first bits of that half. Every pair that shares a variant is verified on the whole fingerprints. Equal
-fingerprints are one node, so exact copies make no pairs.
+Candidates: the fingerprint is cut into SEGMENTS segments of 2 * HALF bits, few enough that of two
+fingerprints with 2 * SEGMENTS - 1 or fewer differences one segment differs by at most one bit. A segment
+with one bit deleted, with that bit's position, is a variant; two segments that differ by one bit or none
+share a variant. A difference of one bit lies in one half of a segment, so a segment's variants are sent by
+its other half, which is equal (one row for each half instead of one for each bit), and joined on equality
+there. Fingerprints travel in rows of many, by the first bits of that half. Every pair that shares a variant
+is verified on the whole fingerprints. Equal fingerprints are one node, so exact copies make no pairs.
 
 What is guaranteed: up to 2 * SEGMENTS - 1 = 15 differences this finds every pair. Pairs with more, but
 not more than `most`, are found if one segment happens to be close, so the fingerprint is also cut after
@@ -39,8 +38,10 @@ from pyspark.sql import functions as F
 from .components import checkpointed, connected_components
 from .kernels import U64, Words, chunks, mix, text_buffers
 
-BITS, SEGMENTS, CUTS = 256, 8, 13
+BITS, SEGMENTS, HALF, CUTS = 256, 8, 15, 9
 MOST = 40
+#: Bytes of a fingerprint laid out for a cut.
+LAID = 4 * SEGMENTS
 #: Rows that are joined together, at least, and rows that a key has, about; whole keys only.
 JOIN_ROWS, KEY_ROWS = 150_000, 20_000
 _SEEDS = [0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
@@ -120,16 +121,34 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _orders() -> list[np.ndarray]:
-    """The order of bits that each cut is made in."""
+    """For each cut which bit goes where: two bytes for each half of a segment, its bits first, then one of the bits left over."""
     rng = np.random.default_rng(7)
-    return [np.arange(BITS), *(rng.permutation(BITS) for _ in range(CUTS - 1))]
+    out = []
+    for c in range(CUTS):
+        bits = rng.permutation(BITS) if c else np.arange(BITS)
+        places = np.empty((2 * SEGMENTS, 16), np.int64)
+        places[:, :HALF] = bits[: 2 * SEGMENTS * HALF].reshape(-1, HALF)
+        over = bits[2 * SEGMENTS * HALF :]
+        places[:, HALF:] = over.reshape(2 * SEGMENTS, 16 - HALF)
+        out.append(places.ravel())
+    return out
+
+
+def _laid(bits: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Rows of bits in the order of a cut, as bytes."""
+    return np.ascontiguousarray(np.packbits(bits[:, order], axis=1))
+
+
+def _halves(laid: np.ndarray) -> np.ndarray:
+    """The number that each half of a laid fingerprint is."""
+    return laid.view(">u2").reshape(len(laid), 2 * SEGMENTS).astype(np.int32) >> (16 - HALF)
 
 
 def _routes(bits: int):
-    """For each half of each segment of each cut the permuted fingerprints, put together by the half's first `bits` bits.
+    """For each half of each segment of each cut the laid fingerprints, put together by the half's first `bits` bits.
 
     A row of fingerprints in `sigs` for each cut, half and value of these bits in `key`: what a
-    fingerprint takes on the way is little more than its own 32 bytes a half.
+    fingerprint takes on the way is little more than its own bytes a half.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,27 +157,39 @@ def _routes(bits: int):
             n = len(batch)
             of = np.unpackbits(np.ascontiguousarray(_matrix(batch.column("sig"))).view(np.uint8), axis=1)
             for c, order in enumerate(orders):
-                packed = np.ascontiguousarray(np.packbits(of[:, order], axis=1))
-                halves = packed.view(np.uint16).astype(np.int32).T
-                key = (halves >> (16 - bits)) | ((np.arange(len(halves), dtype=np.int32) + c * 2 * SEGMENTS) << 16)[:, None]
+                laid = _laid(of, order)
+                halves = _halves(laid).T
+                key = (halves >> (HALF - bits)) | ((np.arange(len(halves), dtype=np.int32) + c * 2 * SEGMENTS) << 16)[:, None]
                 key, row = key.ravel(), np.tile(np.arange(n), len(halves))
                 by = np.argsort(key, kind="stable")
                 key = key[by]
                 new = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
-                ends = np.append(new, len(key)).astype(np.int32) * (BITS // 8)
-                sigs = pa.BinaryArray.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(packed[row[by]]))])
+                ends = np.append(new, len(key)).astype(np.int32) * LAID
+                sigs = pa.BinaryArray.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(laid[row[by]]))])
                 yield pa.RecordBatch.from_arrays([pa.array(key[new]), sigs], names=["key", "sigs"])
 
     return run
 
 
-def _linked(route: np.ndarray, node: np.ndarray, sig: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the verified pairs of rows in the same route that share a variant."""
-    n = len(route)
-    other = sig.view(np.uint16).reshape(n, -1)[np.arange(n), (route >> 16) % (2 * SEGMENTS) ^ 1].astype(U64)
-    group = np.cumsum(np.append(0, route[1:] != route[:-1])).astype(U64) << U64(15)
+def _near(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(1) <= most
+
+
+def _linked(place: np.ndarray, laid: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as rows of `laid`, of the verified pairs that share a variant.
+
+    place: the cut and half that a row was sent by. Rows of the same place and half share a variant if the
+    segment's other half is equal without one of its bits.
+    """
+    n = len(place)
+    h = _halves(laid)
+    half = place % (2 * SEGMENTS)
+    route = (place << HALF) | h[np.arange(n), half]
+    by = np.argsort(route, kind="stable")
+    route, other, sig = route[by], h[by, half[by] ^ 1].astype(U64), np.ascontiguousarray(laid[by]).view(U64)
+    group = np.cumsum(np.append(0, route[1:] != route[:-1])).astype(U64) << U64(HALF - 1)
     found: list[np.ndarray] = []
-    for bit in range(16):
+    for bit in range(HALF):
         rest = ((other >> U64(bit + 1)) << U64(bit)) | (other & U64((1 << bit) - 1))
         key = group | rest
         order = np.argsort(key, kind="stable")
@@ -174,14 +205,14 @@ def _linked(route: np.ndarray, node: np.ndarray, sig: np.ndarray, most: int) ->
         left = left[size > 1]
         while len(left := left[left + lag < end[left]]):
             i, j = order[left], order[left + lag]
-            near = np.bitwise_count(sig[i] ^ sig[j]).sum(1) <= most
+            near = _near(sig[i], sig[j], most)
             if near.any():
                 found.append(np.stack([i[near], j[near]], 1))
             lag += 1
     if not found:
-        return node[:0], node[:0]
+        return by[:0], by[:0]
     pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-    return node[pairs[:, 0]], node[pairs[:, 1]]
+    return by[pairs[:, 0]], by[pairs[:, 1]]
 
 
 def _forest(members: np.ndarray, sig: np.ndarray, most: int) -> np.ndarray:
@@ -220,17 +251,12 @@ def _join(most: int):
         back = [np.argsort(order) for order in _orders()]
 
         def linked(keys: list[np.ndarray], parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            key = np.concatenate(keys)
-            sig = np.concatenate(parts).reshape(-1, BITS // 8)
-            place = key >> 16
-            route = (place << 16) | sig.view(np.uint16)[np.arange(len(sig)), place % (2 * SEGMENTS)]
-            by = np.argsort(route, kind="stable")
-            sig = np.ascontiguousarray(sig[by])
-            u, v = _linked(route[by].astype(np.int32), np.arange(len(sig)), sig.view(U64), most)
-            cut = place[by][u] // (2 * SEGMENTS)
+            place, laid = np.concatenate(keys) >> 16, np.concatenate(parts).reshape(-1, LAID)
+            u, v = _linked(place, laid, most)
+            cut = place[u] // (2 * SEGMENTS)
             for c in np.unique(cut):
                 of = cut == c
-                ends = [np.packbits(np.unpackbits(sig[x[of]], axis=1)[:, back[c]], axis=1) for x in (u, v)]
+                ends = [np.packbits(np.unpackbits(laid[x[of]], axis=1)[:, back[c]], axis=1) for x in (u, v)]
                 yield pa.RecordBatch.from_arrays([pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary()) for x in ends], names=["u", "v"])
 
         keys: list[np.ndarray] = []
@@ -247,7 +273,7 @@ def _join(most: int):
                     yield from linked(keys, parts)
                     keys, parts, held = [], [], 0
                 parts.append(data[ends[i] : ends[i + 1]])
-                keys.append(np.full(len(parts[-1]) // (BITS // 8), key, np.int64))
+                keys.append(np.full(len(parts[-1]) // LAID, key, np.int64))
                 held += len(keys[-1])
         if held:
             yield from linked(keys, parts)
@@ -259,7 +285,7 @@ def near_pairs(nodes: DataFrame, most: int = MOST) -> DataFrame:
     """Pairs u, v of nodes (node, sig; node is the hash of sig) that share a variant and are near; enough to connect the groups."""
     once = nodes.select("node", "sig").dropDuplicates(["node"])
     # so many first bits of a half are put together that a key has about KEY_ROWS rows, however large the table
-    bits = min(16, max(4, (nodes.count() // KEY_ROWS).bit_length()))
+    bits = min(HALF, max(4, (nodes.count() // KEY_ROWS).bit_length()))
     routes = once.mapInArrow(_routes(bits), "key int, sigs binary")
     pairs = routes.repartition("key").sortWithinPartitions("key").mapInArrow(_join(most), "u binary, v binary")
     return pairs.select(F.xxhash64("u").alias("u"), F.xxhash64("v").alias("v"))
