@@ -53,7 +53,7 @@ def top(table: DataFrame, n: int, *tie: str) -> DataFrame:
 
 def postings(texts: DataFrame, key: str, column: str = "text") -> DataFrame:
     """key, term, tf and len (of the text, in terms): a row for each term of each text; a key has one text."""
-    listed = texts.select(key, F.filter(F.split(F.lower(F.col(column)), TERM), lambda t: t != "").alias("terms"))
+    listed = texts.select(key, query_terms(F.col(column)).alias("terms"))
     terms = listed.select(key, F.size("terms").cast("long").alias("len"), F.explode("terms").alias("term"))
     return terms.groupBy(key, "term", "len").agg(F.count(F.lit(1)).alias("tf")).select(key, "term", "tf", "len")
 
@@ -63,7 +63,7 @@ def corpus_stats(source: DataFrame, key: str, column: str = "text") -> DataFrame
     if "term" in source.columns:
         lengths = source.select(key, "len").distinct()
     else:
-        lengths = source.select(F.regexp_count(F.lower(F.col(column)), F.lit(r"\p{L}+")).alias("len")).filter("len > 0")
+        lengths = source.select(F.size(query_terms(F.col(column))).alias("len")).filter("len > 0")
     return lengths.agg(F.count(F.lit(1)).alias("n_texts"), F.avg("len").alias("avg_len"))
 
 
@@ -108,9 +108,8 @@ def term_hits(source: DataFrame, key: str, query: str, column: str = "text") ->
         return source.filter(F.col("term").isin(terms))
     if not terms:
         return source.select(key, F.lit("").alias("term"), F.lit(0).cast("long").alias("tf"), F.lit(0).cast("long").alias("len")).limit(0)
-    low = F.lower(F.col(column))
-    pattern = rf"(?<!\p{{L}})(?:{'|'.join(terms)})(?!\p{{L}})"
-    found = source.select(key, low.alias("low")).filter(F.col("low").rlike(pattern)).select(key, F.regexp_count("low", F.lit(r"\p{L}+")).cast("long").alias("len"), F.explode(F.regexp_extract_all("low", F.lit(pattern), F.lit(0))).alias("term"))
+    listed = source.select(key, query_terms(F.col(column)).alias("terms"))
+    found = listed.select(key, F.size("terms").cast("long").alias("len"), F.explode(F.filter("terms", lambda t: t.isin(terms))).alias("term"))
     return found.groupBy(key, "term", "len").agg(F.count(F.lit(1)).alias("tf")).select(key, "term", "tf", "len")
 
 
