@@ -233,10 +233,10 @@ def first_seen_all(spark: SparkSession, sf: str) -> DataFrame:
     return synthesis.first_seen(_hits(spark, sf), "corpus_id", "turn", "rank").select("sample_id", "corpus_id", "place")
 
 
-@query("SELECT doc_id, list_distinct(list_concat([doc_id, doc_id % 7], CASE WHEN doc_id % 3 = 0 THEN [] ELSE [doc_id % 7, doc_id % 5] END)).list_sort() AS ids FROM documents")
+@query("SELECT doc_id, array_to_string(list_distinct(list_concat([doc_id, doc_id % 7], CASE WHEN doc_id % 3 = 0 THEN [] ELSE [doc_id % 7, doc_id % 5] END)).list_sort(), ',') AS ids FROM documents")
 def backfilled_ids(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "documents").selectExpr("doc_id", "array(doc_id, doc_id % 7) AS submitted", "CASE WHEN doc_id % 3 <> 0 THEN array(doc_id % 7, doc_id % 5) END AS searched")
-    return rows.select("doc_id", F.sort_array(traces.backfilled_ids(F.col("submitted"), F.col("searched"))).alias("ids"))
+    return rows.select("doc_id", F.array_join(F.sort_array(traces.backfilled_ids(F.col("submitted"), F.col("searched"))).cast("array<string>"), ",").alias("ids"))
 
 
 @query("SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'a, 2' ELSE 'plain' END AS gold FROM documents")
