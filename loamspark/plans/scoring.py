@@ -68,7 +68,10 @@ def _norm_sql(x: str) -> str:
 
 @query(f"WITH {_QA} SELECT doc_id, {_norm_sql('answer')} AS normalised, coalesce({_norm_sql('answer')} IN ({_norm_sql('golds[1]')}, {_norm_sql('golds[2]')}), false) AS em FROM qa")
 def metric_em(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", F.split_part("text", F.lit(" "), F.lit(2)).alias("w")).selectExpr("doc_id", "w", f"{_SAY} AS answer", "array(w, concat('x', w)) AS golds")
+    # SQL's concat passes over nulls, and its upper case is one character for each
+    docs = table(spark, sf, "documents").select("doc_id", F.split_part("text", F.lit(" "), F.lit(2)).alias("gold"))
+    docs = docs.withColumn("w", F.coalesce("gold", F.lit(""))).withColumn("up", text.upper_by_character("w"))
+    docs = docs.selectExpr("doc_id", f"{_SAY.replace('upper(w)', 'up')} AS answer", "array(gold, concat('x', w)) AS golds")
     n = text.answer_form("answer")
     return docs.select("doc_id", n.alias("normalised"), F.coalesce(F.exists("golds", lambda g: text.answer_form(g) == n), F.lit(False)).alias("em"))
 

@@ -101,3 +101,18 @@ def test_rollout_rows(spark):
     runs = spark.createDataFrame([(1, 0, "Correct", None, 2.0), (1, 1, "Correct", "KeyError", 1.0), (1, 2, "Correct", None, 99.0), (1, 3, None, "", 3.0)], "sample_id long, rollout long, verdict string, exception string, latency double")
     got = [(r.solved, r.error, r.latency) for r in evaluation.rollout_rows(runs, 60.0).orderBy("rollout").collect()]
     assert got == [(True, None, 2.0), (False, "KeyError", 1.0), (False, "TimeoutError", 60.0), (False, None, 3.0)]
+
+
+def test_metric_em_of_letters_with_long_upper_case(spark, tmp_path):
+    import duckdb
+
+    from loamspark.queries import ORACLES, QUERIES
+
+    words = ["lichß", "ﬁn", "ᾳx", "ŉa", "über", "naïve", "", "𐐨x", "ſo", "a"]
+    docs = [(6 * i + k, f"x {w} y") for i, w in enumerate(words) for k in range(6)] + [(97, "none"), (103, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(map(tuple, QUERIES["metric_em"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(ORACLES["metric_em"]).fetchall())
+    assert (1, "lichß", True) in got
