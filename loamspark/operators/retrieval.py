@@ -8,8 +8,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import lines, squash
 from ..functions.vectors import dot, reciprocal_rank
@@ -23,6 +25,8 @@ MOST_ROWS = 1000
 POOL = 50
 K1, B = 1.2, 0.75
 TERM = r"[^\p{L}]+"
+#: Bytes of texts whose terms are counted at once.
+COUNT_BYTES = 1 << 19
 
 
 def conditions(year_min: int | None = None, year_max: int | None = None, venue: str | None = None) -> Column:
@@ -52,10 +56,40 @@ def top(table: DataFrame, n: int, *tie: str) -> DataFrame:
 
 
 def postings(texts: DataFrame, key: str, column: str = "text") -> DataFrame:
-    """key, term, tf and len (of the text, in terms): a row for each term of each text; a key has one text."""
-    listed = texts.select(key, query_terms(F.col(column)).alias("terms"))
-    terms = listed.select(key, F.size("terms").cast("long").alias("len"), F.explode("terms").alias("term"))
-    return terms.groupBy(key, "term", "len").agg(F.count(F.lit(1)).alias("tf")).select(key, "term", "tf", "len")
+    """key, term, tf and len (of the text, in terms): a row for each term of each text.
+
+    Terms are counted where a text is read, so none is shuffled. The texts of one key count as one; whether
+    there are such keys is looked up first, and only then counts are merged.
+    """
+    counted = _counted(texts, key, column)
+    if texts.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        return counted
+    merged = counted.groupBy(key, "term").agg(F.sum("tf").alias("tf"))
+    lengths = merged.groupBy(F.col(key).alias("__key")).agg(F.sum("tf").alias("len"))
+    return merged.join(lengths, F.col(key).eqNullSafe(F.col("__key"))).select(key, "term", "tf", "len")
+
+
+def _counted(texts: DataFrame, key: str, column: str) -> DataFrame:
+    """The same for each row by itself."""
+    # the terms of query_terms with a space between
+    spaced = F.trim(F.regexp_replace(F.lower(F.col(column)), TERM, " ")).alias("terms")
+    schema = T.StructType([T.StructField(key, texts.schema[key].dataType), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("len", T.LongType())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.filter(pc.fill_null(pc.not_equal(batch.column(1), ""), False))
+            block = np.cumsum(pc.binary_length(some.column(1)).to_numpy(), dtype=np.int64) // COUNT_BYTES
+            starts = np.flatnonzero(np.diff(block, prepend=-1))
+            for a, z in zip(starts, [*starts[1:], len(block)]):
+                terms = pc.split_pattern(some.column(1)[a:z], " ")
+                lens = pc.list_value_length(terms).to_numpy().astype(np.int64)
+                words = terms.flatten().dictionary_encode()
+                width = len(words.dictionary)
+                pairs = pa.array(np.repeat(np.arange(len(lens)), lens) * width + words.indices.to_numpy()).value_counts()
+                row, word = np.divmod(pairs.field(0).to_numpy(), width)
+                yield pa.RecordBatch.from_arrays([some.column(0)[a:z].take(pa.array(row)), words.dictionary.take(pa.array(word)), pairs.field(1), pa.array(lens[row])], names=schema.names)
+
+    return texts.select(key, spaced).mapInArrow(count, schema)
 
 
 def corpus_stats(source: DataFrame, key: str, column: str = "text") -> DataFrame:

@@ -160,6 +160,24 @@ def test_stored_index_reads_its_terms_only(spark, tmp_path):
     assert sorted(map(tuple, posted.collect())) == sorted(map(tuple, retrieval.postings(texts, "corpus_id").collect()))
 
 
+def shuffled(df):
+    return "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_are_counted_without_a_shuffle(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices(["Ab", "b.c", "é", "12", "ÄB", ""], k=rng.randint(0, 60)))) for i in range(80)] + TEXTS[2:4]
+    texts = spark.createDataFrame([(f"k{i}", t) for i, (_, t) in enumerate(rows)] + [(None, "a a")], "key string, text string")
+    want = []
+    for r in texts.select("key", retrieval.query_terms(F.coalesce("text", F.lit(""))).alias("t")).collect():
+        want += [(r.key, w, r.t.count(w), len(r.t)) for w in set(r.t)]
+    for most in (1, 50, 1 << 19):
+        monkeypatch.setattr(retrieval, "COUNT_BYTES", most)
+        posted = retrieval.postings(texts, "key")
+        assert not shuffled(posted)
+        assert sorted(map(repr, map(tuple, posted.collect()))) == sorted(map(repr, want))
+
+
 def test_evidence_by_automaton_by_words_and_by_brute_force(spark, monkeypatch):
     rng = random.Random(4)
     text = lambda n: " ".join(rng.choices(["ab", "b", "Ab", "cd ", "a", "ü"], k=n))
