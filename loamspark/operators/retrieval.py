@@ -25,8 +25,9 @@ MOST_ROWS = 1000
 POOL = 50
 K1, B = 1.2, 0.75
 TERM = r"[^\p{L}]+"
-#: Bytes of texts whose terms are counted at once.
+#: Bytes of texts whose terms are counted at once, and of a row group of stored postings.
 COUNT_BYTES = 1 << 19
+GROUP_BYTES = 16 << 20
 
 
 def conditions(year_min: int | None = None, year_max: int | None = None, venue: str | None = None) -> Column:
@@ -101,17 +102,17 @@ def corpus_stats(source: DataFrame, key: str, column: str = "text") -> DataFrame
     return lengths.agg(F.count(F.lit(1)).alias("n_texts"), F.avg("len").alias("avg_len"))
 
 
-def store_index(texts: DataFrame, key: str, path: str, column: str = "text", slices: int = 16) -> None:
+def store_index(texts: DataFrame, key: str, path: str, column: str = "text") -> None:
     """Write postings and corpus_stats below a path.
 
-    Files are sorted by term, so a search reads the row groups of its terms only. A term's postings are
-    spread over `slices` files at most, so that a very common one doesn't fill a task.
+    Each task writes the postings of the texts it reads as a file sorted by term, in small row groups, so a
+    search reads of each file the row groups of its terms only, and nothing is shuffled. A very common
+    term is spread over the files as its texts are.
     """
     posted = postings(texts, key, column)
-    spread = posted.repartition("term", F.pmod(F.xxhash64(key), F.lit(slices)))
-    spread.sortWithinPartitions("term", key).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
+    posted.sortWithinPartitions("term", key).write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).parquet(f"{path}/postings")
     stored = posted.sparkSession.read.parquet(f"{path}/postings")
-    # a text's length is met once, with the least of its terms
+    # the postings of a key are in one file, so before the shuffle there is a row for each key
     lengths = stored.groupBy(key).agg(F.first("len").alias("len"))
     lengths.agg(F.count(F.lit(1)).alias("n_texts"), F.avg("len").alias("avg_len")).write.mode("overwrite").parquet(f"{path}/stats")
 

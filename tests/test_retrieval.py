@@ -178,6 +178,20 @@ def test_terms_are_counted_without_a_shuffle(spark, monkeypatch):
         assert sorted(map(repr, map(tuple, posted.collect()))) == sorted(map(repr, want))
 
 
+def test_an_index_is_stored_without_a_shuffle(spark, tmp_path):
+    texts = spark.range(0, 60, 1, 3).selectExpr("id AS corpus_id", "concat('b a c', id % 7, ' x', chr(97 + int(id % 5))) AS text")
+    retrieval.store_index(texts, "corpus_id", str(tmp_path / "i"))
+    posted, _ = retrieval.open_index(spark, str(tmp_path / "i"))
+    by_file = posted.withColumn("f", F.input_file_name()).collect()
+    files = {}
+    for r in by_file:
+        files.setdefault(r.f, []).append(r)
+    assert len(files) == 3
+    for rows in files.values():  # sorted by term, and all terms of a text in one
+        assert [(r.term, r.corpus_id) for r in rows] == sorted((r.term, r.corpus_id) for r in rows)
+    assert not {r.corpus_id for r in by_file if r.f == min(files)} & {r.corpus_id for r in by_file if r.f != min(files)}
+
+
 def test_evidence_by_automaton_by_words_and_by_brute_force(spark, monkeypatch):
     rng = random.Random(4)
     text = lambda n: " ".join(rng.choices(["ab", "b", "Ab", "cd ", "a", "ü"], k=n))
