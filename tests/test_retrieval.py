@@ -192,6 +192,22 @@ def test_an_index_is_stored_without_a_shuffle(spark, tmp_path):
     assert not {r.corpus_id for r in by_file if r.f == min(files)} & {r.corpus_id for r in by_file if r.f != min(files)}
 
 
+def test_texts_of_one_key_count_as_one(spark, tmp_path):
+    import duckdb
+
+    from loamspark.queries import ORACLES, QUERIES
+
+    docs = [(1, "The nation, the"), (1, "thing the"), (2, "a nation"), (2, "a nation"), (3, ""), (4, None), (5, "nation x thing")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("postings", "postings_stored"):
+        df = QUERIES[name](spark, str(tmp_path))
+        assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLES[name]})").fetchall())), name
+    want = {k: s for k, s in con.execute(ORACLES["bm25_stored"]).fetchall()}
+    assert {r.corpus_id: r.score for r in QUERIES["bm25_stored"](spark, str(tmp_path)).collect()} == pytest.approx(want)
+
+
 def test_evidence_by_automaton_by_words_and_by_brute_force(spark, monkeypatch):
     rng = random.Random(4)
     text = lambda n: " ".join(rng.choices(["ab", "b", "Ab", "cd ", "a", "ü"], k=n))
