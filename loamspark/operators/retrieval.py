@@ -25,9 +25,12 @@ MOST_ROWS = 1000
 POOL = 50
 K1, B = 1.2, 0.75
 TERM = r"[^\p{L}]+"
-#: Bytes of texts whose terms are counted at once, and of a row group of stored postings.
+#: Bytes of texts whose terms are counted at once, of texts whose postings are stored as one run, and of a row group of them.
 COUNT_BYTES = 1 << 19
-GROUP_BYTES = 16 << 20
+RUN_BYTES = 32 << 20
+GROUP_BYTES = 2 << 20
+#: Rows of postings that are handed on at once.
+BATCH_ROWS = 1 << 16
 
 
 def conditions(year_min: int | None = None, year_max: int | None = None, venue: str | None = None) -> Column:
@@ -56,43 +59,73 @@ def top(table: DataFrame, n: int, *tie: str) -> DataFrame:
     return table.orderBy(F.desc(F.round("score", 6)), *tie).limit(n)
 
 
-def postings(texts: DataFrame, key: str, column: str = "text") -> DataFrame:
+def postings(texts: DataFrame, key: str, column: str = "text", runs: bool = False) -> DataFrame:
     """key, term, tf and len (of the text, in terms): a row for each term of each text.
 
     Terms are counted where a text is read, so none is shuffled. The texts of one key count as one; whether
-    there are such keys is looked up first, and only then counts are merged.
+    there are such keys is looked up first, and only then counts are merged. With runs, each partition
+    is a sequence of runs sorted by term, of RUN_BYTES of texts or, where counts were merged, of all of it.
     """
-    counted = _counted(texts, key, column)
     if texts.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
-        return counted
-    merged = counted.groupBy(key, "term").agg(F.sum("tf").alias("tf"))
+        return _counted(texts, key, column, runs)
+    merged = _counted(texts, key, column).groupBy(key, "term").agg(F.sum("tf").alias("tf"))
     lengths = merged.groupBy(F.col(key).alias("__key")).agg(F.sum("tf").alias("len"))
-    return merged.join(lengths, F.col(key).eqNullSafe(F.col("__key"))).select(key, "term", "tf", "len")
+    joined = merged.join(lengths, F.col(key).eqNullSafe(F.col("__key"))).select(key, "term", "tf", "len")
+    return joined.sortWithinPartitions("term", key) if runs else joined
 
 
-def _counted(texts: DataFrame, key: str, column: str) -> DataFrame:
+def _counted(texts: DataFrame, key: str, column: str, runs: bool = False) -> DataFrame:
     """The same for each row by itself."""
     # the terms of query_terms with a space between
     spaced = F.trim(F.regexp_replace(F.lower(F.col(column)), TERM, " ")).alias("terms")
     schema = T.StructType([T.StructField(key, texts.schema[key].dataType), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("len", T.LongType())])
+    most = RUN_BYTES if runs else COUNT_BYTES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            some = batch.filter(pc.fill_null(pc.not_equal(batch.column(1), ""), False))
-            block = np.cumsum(pc.binary_length(some.column(1)).to_numpy(), dtype=np.int64) // COUNT_BYTES
-            starts = np.flatnonzero(np.diff(block, prepend=-1))
-            for a, z in zip(starts, [*starts[1:], len(block)]):
-                terms = pc.split_pattern(some.column(1)[a:z], " ")
-                lens = pc.list_value_length(terms).to_numpy().astype(np.int64)
-                words = terms.flatten().dictionary_encode()
-                width = len(words.dictionary)
-                pairs = pa.array(np.repeat(np.arange(len(lens)), lens) * width + words.indices.to_numpy()).value_counts()
-                row, word = np.divmod(pairs.field(0).to_numpy(), width)
-                yield pa.RecordBatch.from_arrays([some.column(0)[a:z].take(pa.array(row)), words.dictionary.take(pa.array(word)), pairs.field(1), pa.array(lens[row])], names=schema.names)
+        for keys, block in _blocks(batches, most):
+            terms = pc.split_pattern(block, " ")
+            lens = pc.list_value_length(terms).to_numpy().astype(np.int64)
+            words = terms.flatten().dictionary_encode()
+            names, word, of = words.dictionary, words.indices.to_numpy(), np.repeat(np.arange(len(lens)), lens)
+            if runs:
+                order = pc.array_sort_indices(names)  # by UTF-8 bytes, as Spark does
+                place = np.empty(len(order), np.int64)
+                place[order.to_numpy()] = np.arange(len(order))
+                pairs, tf = np.unique(place[word] * len(lens) + of, return_counts=True)
+                names, (word, row) = names.take(order), np.divmod(pairs, len(lens))
+            else:
+                pairs, tf = (x.to_numpy() for x in pa.array(of * len(names) + word).value_counts().flatten())
+                row, word = np.divmod(pairs, len(names))
+            for a in range(0, len(pairs), BATCH_ROWS):
+                w, r = word[a : a + BATCH_ROWS], row[a : a + BATCH_ROWS]
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(r)), names.take(pa.array(w)), pa.array(tf[a : a + BATCH_ROWS]), pa.array(lens[r])], names=schema.names)
 
     return texts.select(key, spaced).mapInArrow(count, schema)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Keys and texts of the rows that have terms, in their order; each block ends with the text that brings it to `most` bytes."""
+    waiting, held = [], 0
+
+    def joined() -> tuple[pa.Array, pa.Array]:
+        return pa.concat_arrays([b.column(0) for b in waiting]), pa.concat_arrays([b.column(1) for b in waiting])
+
+    for batch in batches:
+        some = batch.filter(pc.fill_null(pc.not_equal(batch.column(1), ""), False))
+        ends = np.cumsum(pc.binary_length(some.column(1)).to_numpy(), dtype=np.int64)
+        a = before = 0
+        while a < len(some):
+            z = min(int(np.searchsorted(ends, before + most - held)) + 1, len(some))
+            waiting.append(some.slice(a, z - a))
+            held += int(ends[z - 1]) - before
+            a, before = z, int(ends[z - 1])
+            if held >= most:
+                yield joined()
+                waiting, held = [], 0
+    if waiting:
+        yield joined()
+
+
 def corpus_stats(source: DataFrame, key: str, column: str = "text") -> DataFrame:
     """One row: n_texts that have terms, and avg_len."""
     if "term" in source.columns:
@@ -105,12 +138,13 @@ def corpus_stats(source: DataFrame, key: str, column: str = "text") -> DataFrame
 def store_index(texts: DataFrame, key: str, path: str, column: str = "text") -> None:
     """Write postings and corpus_stats below a path.
 
-    Each task writes the postings of the texts it reads as a file sorted by term, in small row groups, so a
-    search reads of each file the row groups of its terms only, and nothing is shuffled. A very common
+    Each task writes the postings of the texts it reads as a file of runs sorted by term, in small row
+    groups and pages, so a search reads of each run those of its terms only. Nothing is shuffled, and a run is
+    sorted where its terms are counted: what a task holds doesn't grow with its split. A very common
     term is spread over the files as its texts are.
     """
-    posted = postings(texts, key, column)
-    posted.sortWithinPartitions("term", key).write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).parquet(f"{path}/postings")
+    posted = postings(texts, key, column, runs=True)
+    posted.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).parquet(f"{path}/postings")
     stored = posted.sparkSession.read.parquet(f"{path}/postings")
     # the postings of a key are in one file, so before the shuffle there is a row for each key
     lengths = stored.groupBy(key).agg(F.first("len").alias("len"))

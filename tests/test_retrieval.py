@@ -192,6 +192,40 @@ def test_an_index_is_stored_without_a_shuffle(spark, tmp_path):
     assert not {r.corpus_id for r in by_file if r.f == min(files)} & {r.corpus_id for r in by_file if r.f != min(files)}
 
 
+def test_an_index_is_stored_in_runs_without_a_sort(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    texts = spark.range(0, 90, 1, 3).selectExpr("id AS corpus_id", "CASE WHEN id % 5 = 1 THEN NULL WHEN id % 5 = 3 THEN '--' WHEN id = 40 THEN repeat('z a ', 99) ELSE concat('b É c', id % 7, ' x', chr(97 + int(id % 5))) END AS text")
+    monkeypatch.setattr(retrieval, "RUN_BYTES", 40)
+    monkeypatch.setattr(retrieval, "BATCH_ROWS", 7)
+    monkeypatch.setattr(retrieval, "GROUP_BYTES", 64)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        assert "Sort" not in retrieval.postings(texts, "corpus_id", runs=True)._jdf.queryExecution().executedPlan().toString()
+        retrieval.store_index(texts, "corpus_id", str(tmp_path / "i"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    posted, stats = retrieval.open_index(spark, str(tmp_path / "i"))
+    files = [list(zip(*(c.to_pylist() for c in pq.read_table(f, columns=["term", "corpus_id"]).columns))) for f in (tmp_path / "i" / "postings").glob("*.parquet")]
+    assert len(files) == 3
+    for rows in files:
+        runs = [[]]
+        for i, row in enumerate(rows):
+            if i and row < rows[i - 1]:
+                runs.append([])
+            runs[-1].append(row)
+        # 18 texts of 9 bytes, five a run, over batches; the long one ends its run
+        assert 3 <= len(runs) <= 5
+        met = [{k for _, k in run} for run in runs]
+        assert sum(map(len, met)) == len(set().union(*met))
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    assert rows(posted) == rows(retrieval.postings(texts, "corpus_id"))
+    assert rows(stats) == rows(retrieval.corpus_stats(texts, "corpus_id"))
+    for q in ("b xa", "é z", "nothing"):
+        assert rows(retrieval.lexical_search(posted, "corpus_id", q, stats=stats)) == rows(retrieval.lexical_search(texts, "corpus_id", q))
+
+
 def test_texts_of_one_key_count_as_one(spark, tmp_path):
     import duckdb
 
